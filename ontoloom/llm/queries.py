@@ -1,13 +1,19 @@
 """Queries of this subpackage, each over its whole table, and their SQL."""
 
-from ontoloom.llm import quality, secrets, urlfilter
+from ontoloom.llm import chat, packing, quality, secrets, simhash, urlfilter, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
+    "op3_warc": warc.query,
     "op5_quality_rules": quality.query,
+    "op6_chat_format": chat.query,
+    "op7_simhash": simhash.query,
+    "op8_packing": packing.query,
     "op9_url_filter": urlfilter.query,
 }
 
 ORACLE_SQL = {
+    "op3_warc": warc.ORACLE,
+    "op6_chat_format": chat.ORACLE,
     "op9_url_filter": urlfilter.ORACLE,
 }
