@@ -1,9 +1,10 @@
 """Queries of this subpackage, each over its whole table, and their SQL."""
 
-from ontoloom.llm import chat, packing, quality, secrets, simhash, urlfilter, warc
+from ontoloom.llm import chat, decontaminate, packing, quality, secrets, simhash, urlfilter, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
+    "op2_decontaminate": decontaminate.query,
     "op3_warc": warc.query,
     "op5_quality_rules": quality.query,
     "op6_chat_format": chat.query,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_decontaminate": decontaminate.ORACLE,
     "op3_warc": warc.ORACLE,
     "op6_chat_format": chat.ORACLE,
     "op9_url_filter": urlfilter.ORACLE,
