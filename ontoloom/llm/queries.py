@@ -1,11 +1,12 @@
 """Queries of this subpackage, each over its whole table, and their SQL."""
 
-from ontoloom.llm import chat, decontaminate, packing, quality, secrets, simhash, urlfilter, warc
+from ontoloom.llm import chat, decontaminate, packing, quality, secrets, simhash, substrings, urlfilter, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
     "op2_decontaminate": decontaminate.query,
     "op3_warc": warc.query,
+    "op4_substring_dedup": substrings.query,
     "op5_quality_rules": quality.query,
     "op6_chat_format": chat.query,
     "op7_simhash": simhash.query,
@@ -16,6 +17,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_decontaminate": decontaminate.ORACLE,
     "op3_warc": warc.ORACLE,
+    "op4_substring_dedup": substrings.ORACLE,
     "op6_chat_format": chat.ORACLE,
     "op9_url_filter": urlfilter.ORACLE,
 }
