@@ -1,6 +1,6 @@
 """Queries of this subpackage, each over its whole table, and their SQL."""
 
-from ontoloom.llm import chat, decontaminate, packing, quality, secrets, simhash, substrings, urlfilter, warc
+from ontoloom.llm import chat, decontaminate, langid, packing, quality, secrets, simhash, substrings, urlfilter, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_simhash": simhash.query,
     "op8_packing": packing.query,
     "op9_url_filter": urlfilter.query,
+    "op10_language_id": langid.query,
 }
 
 ORACLE_SQL = {
