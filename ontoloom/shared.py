@@ -32,3 +32,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark, place = df.sparkSession, new_place(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(place)
     return spark.read.schema(df.schema).parquet(place)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever columns it came with."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

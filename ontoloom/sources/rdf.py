@@ -416,14 +416,6 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.options, self.predicates = options, None
 
-    def pushFilters(self, filters: list):
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("predicate",):
-                self.predicates = {f.value}
-            elif isinstance(f, In) and f.attribute == ("predicate",):
-                self.predicates = set(f.value)
-            yield f  # Spark applies it again: it may be more than one
-
     def partitions(self) -> list[InputPartition]:
         where, path = fs.FileSystem.from_uri(self.options["path"])
         found = where.get_file_info(path)
@@ -470,8 +462,21 @@ class _Reader(DataSourceReader):
                 raise
 
 
+class _PushingReader(_Reader):
+    """For sessions with spark.sql.python.filterPushdown.enabled, which others refuse."""
+
+    def pushFilters(self, filters: list):
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("predicate",):
+                self.predicates = {f.value}
+            elif isinstance(f, In) and f.attribute == ("predicate",):
+                self.predicates = set(f.value)
+            yield f  # Spark applies it again: it may be more than one
+
+
 class RdfSource(DataSource):
-    """``format("rdf")``: options path (a file or folder), syntaxBy (content or suffix), base, onError (fail or skip)."""
+    """``format("rdf")``: options path (a file or folder), syntaxBy (content or suffix), base, onError (fail or skip),
+    pushdown (true where the session allows it)."""
 
     @classmethod
     def name(cls) -> str:
@@ -481,9 +486,10 @@ class RdfSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(dict(self.options))
+        return (_PushingReader if self.options.get("pushdown") == "true" else _Reader)(dict(self.options))
 
 
 def read_triples(spark: SparkSession, path: str, **options: str) -> DataFrame:
     spark.dataSource.register(RdfSource)
-    return spark.read.format("rdf").options(**options).load(path)
+    allowed = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return spark.read.format("rdf").options(pushdown=allowed, **options).load(path)
