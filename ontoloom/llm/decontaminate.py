@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ontoloom.llm import text as T
-from ontoloom.shared import written
+from ontoloom.shared import unused, written
 
 WINDOW, SHINGLE = 10, 3
 MAX_BITS, BITS_A_KEY, PROBES = 26, 32, 4
@@ -198,8 +198,9 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingl
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The columns of ``docs`` without documents that hold a window of an item."""
-    gone = contaminated(docs, items).where("n_hit > 0").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    gone_id = unused(docs, "_gone")
+    gone = contaminated(docs, items).where("n_hit > 0").select(F.col("doc_id").alias(gone_id)).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(gone_id)), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

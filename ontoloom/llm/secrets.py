@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ontoloom.shared import new_place
+from ontoloom.shared import new_place, unused
 
 #: kind, pattern, group whose length counts, fewest characters, whether it is one of the contract's
 RULES = [
@@ -85,7 +85,7 @@ def read_ledger(spark: SparkSession, ledger: str) -> DataFrame | None:
 
 
 def scan(versions: DataFrame, ledger: str | None = None, content: str = "text") -> DataFrame:
-    """The columns of ``versions`` other than the content, with ``findings`` sorted by start and kind.
+    """The columns of ``versions`` other than the content and any ``findings``, with ``findings`` sorted by start and kind.
 
     Null content is empty; a blob on many paths, or repeated rows, is scanned once and reported for each.
     An empty table gives an empty one. Without ``ledger`` a new one is begun in the shared folder.
@@ -93,11 +93,11 @@ def scan(versions: DataFrame, ledger: str | None = None, content: str = "text")
     spark = versions.sparkSession
     ledger = ledger or new_place(spark, "ledger")
     scan_unseen(versions, ledger, content)
-    known = read_ledger(spark, ledger).where(F.col("rule_version") == RULE_VERSION).select(F.col("blob").alias("_blob"), F.col("findings").alias("_findings"))
-    paths = versions.withColumn("_name", blob_of(F.col(content))).drop(content)
-    none = F.array().cast(FINDINGS)
-    met = paths.join(known, F.col("_name") == F.col("_blob"), "left")
-    return met.withColumn("findings", F.coalesce("_findings", none)).drop("_name", "_blob", "_findings")
+    name, blob = unused(versions, "_name"), unused(versions, "_blob")
+    known = read_ledger(spark, ledger).where(F.col("rule_version") == RULE_VERSION).select(F.col("blob").alias(blob), F.col("findings").alias("_found"))
+    paths = versions.withColumn(name, blob_of(F.col(content))).select(name, *[F.col(f"`{c}`") for c in versions.columns if c not in (content, "findings")])
+    met = paths.join(known.withColumnRenamed("_found", unused(versions, "_found")), F.col(name) == F.col(blob), "left")
+    return met.withColumn("findings", F.coalesce(unused(versions, "_found"), F.array().cast(FINDINGS))).drop(name, blob, unused(versions, "_found"))
 
 
 def _digest(spans: Column) -> Column:
@@ -120,16 +120,17 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]", ledger: str | None = None)
     spark = docs.sparkSession
     ledger = ledger or new_place(spark, "ledger")
     scan_unseen(docs, ledger)
-    known = read_ledger(spark, ledger).where((F.col("rule_version") == RULE_VERSION) & (F.size("findings") > 0)).select(F.col("blob").alias("_blob"), F.col("findings").alias("_findings"))
-    met = docs.withColumn("_name", blob_of(F.col("text"))).join(known, F.col("_name") == F.col("_blob"), "left")
+    name, blob, found = (unused(docs, x) for x in ("_name", "_blob", "_found"))
+    known = read_ledger(spark, ledger).where((F.col("rule_version") == RULE_VERSION) & (F.size("findings") > 0)).select(F.col("blob").alias(blob), F.col("findings").alias(found))
+    met = docs.withColumn(name, blob_of(F.col("text"))).join(known, F.col(name) == F.col(blob), "left")
     # Findings are sorted by start: what lies between them stays; overlapping ones are one.
     cut = F.aggregate(
-        "_findings", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
+        found, F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
         lambda a, x: F.struct(
             F.when(x["start"] >= a["at"], F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int")), F.lit(mark))).otherwise(a["out"]).alias("out"),
             F.greatest(a["at"], x["end"]).alias("at"),
         ),
         lambda a: F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.lit(2147483647))),
     )
-    out = met.withColumn("text", F.when(F.col("_findings").isNull(), F.col("text")).otherwise(cut)).select(*docs.columns)
+    out = met.withColumn("text", F.when(F.col(found).isNull(), F.col("text")).otherwise(cut)).select(*[F.col(f"`{c}`") for c in docs.columns])
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

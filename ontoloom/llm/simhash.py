@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ontoloom.llm import text as T
-from ontoloom.shared import written
+from ontoloom.shared import unused, written
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: which two of the four quarters make each key
@@ -190,9 +190,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The columns of ``docs``: of each component the row with the smallest doc_id stays; rows without an id all stay."""
-    found = near_duplicates(docs)
-    gone = found.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    found, gone_id = near_duplicates(docs), unused(docs, "_gone")
+    gone = found.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias(gone_id)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(gone_id), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
