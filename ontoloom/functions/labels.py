@@ -43,17 +43,25 @@ def camel_split(text: Column) -> Column:
     return F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2")
 
 
+def _head(text: Column, letter: str, n: int) -> Column:
+    """The text up to its n-th run that has a ``letter``: all that can reach the first n words, so that no more is worked on."""
+    return F.regexp_extract(text, f"^(?:[^{letter}]*+[{letter}][{letter}\\x{{80}}-\\x{{10FFFF}}]*+){{0,{n}}}[^{letter}]*+", 0)
+
+
 def normalise_label(text: Column, max_words: int = 20, fold=ascii_folded) -> Column:
     """ASCII words in lower case, at most ``max_words``; null is ''."""
-    text = F.coalesce(text, F.lit(""))
+    # Prefixes are at most a dozen words; what else is cut or folded only ever splits words further.
+    text = _head(F.coalesce(text, F.lit("")), "a-zA-Z0-9", max_words + 12)
     for prefix in PREFIXES:
-        text = F.when(F.startswith(text, F.lit(prefix)), F.substring(text, len(prefix) + 1, 2147483647)).otherwise(text)
+        text = F.regexp_replace(text, f"^{prefix}", "")
     return _first(F.lower(F.regexp_replace(fold(camel_split(text)), "[^a-zA-Z0-9]", " ")), " ", max_words)
 
 
 def normalise_label_v1(text: Column, max_words: int = 15) -> Column:
     """Words in lower case, split at blanks, '_' and '-'; accents and marks stay."""
-    return _first(F.lower(F.translate(camel_split(F.coalesce(text, F.lit(""))), "_-", "  ")), BLANKS, max_words)
+    gap = BLANKS[1:-2] + "_-"
+    text = F.regexp_extract(F.coalesce(text, F.lit("")), f"^(?:[{gap}]*+[^{gap}]++){{0,{max_words}}}", 0)
+    return _first(F.lower(F.translate(camel_split(text), "_-", "  ")), BLANKS, max_words)
 
 
 def uri_tail(uri: Column) -> Column:

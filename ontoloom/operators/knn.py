@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ontoloom.functions.vectors import token_cosine
+
 TILE = 4096
 FOUND = "etype string, source string, target string, score double"
 
@@ -129,17 +131,28 @@ def ivf_nearest(src: DataFrame, tgt: DataFrame, k: int, centers: np.ndarray | No
     return ranked(found).where(F.col("rank") <= k)
 
 
-def token_nearest(src: DataFrame, tgt: DataFrame, k: int | DataFrame) -> DataFrame:
-    """As nearest(), by the cosine of token sets: only pairs with a common word score, so an inverted index finds them.
+def _prefixes(rows: DataFrame, rarity: DataFrame, name: str, least: float) -> DataFrame:
+    """etype, token, <name>, n_<name>: the rarest tokens of each entity, as many as a partner must share one of."""
+    each = rows.select(F.col("uri").alias(name), F.col("etype").cast("string").alias("etype"), F.explode("tokens").alias("token"))
+    sets = each.join(rarity, ["etype", "token"]).groupBy(name, "etype").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+    needed = F.ceil(F.size("t") * (least * least) - 1e-9).cast("int")
+    return sets.select(name, "etype", F.size("t").alias(f"n_{name}"), F.explode(F.slice("t", F.lit(1), F.size("t") - needed + 1)).alias("p")).select(name, "etype", f"n_{name}", F.col("p.token").alias("token"))
 
-    ``src``, ``tgt``: uri, etype, tokens. A pair is counted through each word that both have; sums are the overlaps.
-    """
-    def listed(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.col("uri").alias(name), F.col("etype").cast("string").alias("etype"), F.size("tokens").alias(f"n_{name}"), F.explode("tokens").alias("token"))
 
-    met = listed(src, "source").join(listed(tgt, "target"), ["etype", "token"])
-    both = met.groupBy("etype", "source", "target", "n_source", "n_target").agg(F.count(F.lit(1)).alias("m"))
-    found = both.select("etype", "source", "target", (F.col("m") / F.sqrt(F.col("n_source").cast("double") * F.col("n_target"))).alias("score"))
+def token_nearest(src: DataFrame, tgt: DataFrame, k: int | DataFrame, least: float = 0.5) -> DataFrame:
+    """As nearest(), by the cosine of token sets, of pairs that reach ``least``.
+
+    ``src``, ``tgt``: uri, etype, tokens. A pair that reaches it shares at least least**2 of either set, so it shares one
+    of the rarest tokens that are left when so many less one are put aside; pairs meet on those, and frequent words,
+    which would pair everything, hardly ever come to that. Sizes that are too far apart are never joined.
+    """
+    both = src.select(F.col("etype").cast("string").alias("etype"), "tokens").unionByName(tgt.select(F.col("etype").cast("string").alias("etype"), "tokens"))
+    rarity = both.select("etype", F.explode("tokens").alias("token")).groupBy("etype", "token").agg(F.count(F.lit(1)).alias("df"))
+    s, t = _prefixes(src, rarity, "source", least), _prefixes(tgt, rarity, "target", least)
+    fits = (F.col("n_source") >= F.col("n_target") * (least * least) - 1e-9) & (F.col("n_target") >= F.col("n_source") * (least * least) - 1e-9)
+    met = s.join(t, ["etype", "token"]).where(fits).select("etype", "source", "target").distinct()
+    met = met.join(src.select(F.col("uri").alias("source"), F.col("tokens").alias("_s")), "source").join(tgt.select(F.col("uri").alias("target"), F.col("tokens").alias("_t")), "target")
+    found = met.select("etype", "source", "target", token_cosine(F.col("_s"), F.col("_t")).alias("score")).where(F.col("score") >= least)
     out = ranked(found)
     if isinstance(k, int):
         return out.where(F.col("rank") <= k)

@@ -49,7 +49,8 @@ def _keep(df: DataFrame, *more: str) -> DataFrame:
 def candidates(src: DataFrame, tgt: DataFrame, settings: Settings, known: Sizes, relaxation: float = 1.0, vectors: DataFrame | None = None) -> DataFrame:
     """Scored candidate pairs of one stage: nearest neighbours, hub discount, floor, reciprocity, scores and gate.
 
-    ``vectors``: label, vec of every label; without them the cosine of token sets is the semantic score.
+    ``vectors``: label, vec of every label; without them the cosine of token sets is the semantic score, and only
+    targets that reach the lowest floor are candidates.
     """
     buckets = bucket_sizes(src, tgt)
     if vectors is not None:
@@ -58,7 +59,9 @@ def candidates(src: DataFrame, tgt: DataFrame, settings: Settings, known: Sizes,
         search = (lambda a, b, k: knn.ivf_nearest(a, b, k)) if settings.search == "ivf" else knn.nearest
     else:
         src, tgt = embed.token_sets(src), embed.token_sets(tgt)
-        unsure, search = None, knn.token_nearest
+        # Below the lowest floor of any type no pair can pass.
+        least = min([*settings.thresholds.values(), settings.other_threshold]) * relaxation * settings.floor_ratio
+        unsure, search = None, lambda a, b, k: knn.token_nearest(a, b, k, least)
     if settings.k is not None:
         buckets = buckets.withColumn("k", F.least(F.lit(settings.k), F.col("n_tgt")).cast("int"))
     else:
@@ -117,7 +120,8 @@ def align_v1(src: DataFrame, tgt: DataFrame, settings: Settings = Settings(), ve
     claims = written(exact_locks_v1(src, tgt), "claims")
     rest_s, rest_t = unclaimed(src, claims, "source"), unclaimed(tgt, claims, "target")
     if vectors is None:
-        best = knn.token_nearest(embed.token_sets(rest_s), embed.token_sets(rest_t), 1)
+        least = min([*settings.thresholds_v1.values(), settings.other_threshold])
+        best = knn.token_nearest(embed.token_sets(rest_s), embed.token_sets(rest_t), 1, least)
     else:
         best = knn.nearest(rest_s.join(vectors, "label"), rest_t.join(vectors, "label"), 1)
     labels = best.join(rest_s.select(F.col("uri").alias("source"), F.col("label").alias("a")), "source").join(rest_t.select(F.col("uri").alias("target"), F.col("label").alias("b")), "target")

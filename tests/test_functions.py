@@ -23,6 +23,26 @@ def test_labels(spark):
         assert row.got == row.b, row
 
 
+def test_labels_of_odd_texts_equal_the_rule(spark):
+    import random
+    import re
+    import unicodedata
+
+    def rule(text):
+        for p in L.PREFIXES:
+            text = text.removeprefix(p)
+        text = re.sub("([a-z0-9])([A-Z])", r"\1 \2", text)
+        return " ".join(re.sub("[^a-zA-Z0-9]", " ", unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode()).lower().split()[:20])
+
+    rng = random.Random(9)
+    parts = ["aB", "é", "ﬁ", "½", "\u00a0", " ", ",", "\n", "Category:", "User:", "日本", "9", "ß", "_", "😀", "e\u0301x"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(120))) for _ in range(400)] + ["é" * 9000 + "a", "x" * 20000, "a " * 20000]
+    rows = spark.createDataFrame([(t,) for t in texts], "a string").select("a", L.normalise_label(F.col("a")).alias("got"), L.normalise_label_v1(F.col("a")).alias("v1")).collect()
+    for r in rows:
+        assert r.got == rule(r.a)
+        assert r.v1 == " ".join(re.sub("([a-z0-9])([A-Z])", r"\1 \2", r.a).replace("_", " ").replace("-", " ").lower().split()[:15])
+
+
 def test_labels_are_cut_at_words_and_normalising_twice_changes_nothing(spark):
     df = spark.createDataFrame([(" ".join(f"w{i}" for i in range(30)),), ("AbC-dEf_Ünï",)], "a string")
     once = L.normalise_label(F.col("a"))

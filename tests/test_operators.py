@@ -36,6 +36,17 @@ def test_nearest_with_k_by_type(spark):
     assert {r.etype: r.m for r in got} == {"t": 2, "other": 1}
 
 
+def test_token_neighbours_equal_brute_force(spark):
+    rng = random.Random(4)
+    rows = lambda side: [(f"{side}{i}", rng.choice("ab"), sorted({rng.choice("the of and x1 x2 x3 x4 x5 x6 x7 x8".split()) for _ in range(rng.randrange(1, 8))})) for i in range(60)]
+    a, b = rows("s"), rows("t")
+    kind = "uri string, etype string, tokens array<string>"
+    for least in (0.3, 0.5, 0.8):
+        got = {(r.source, r.target, round(r.score, 9)) for r in knn.token_nearest(spark.createDataFrame(a, kind), spark.createDataFrame(b, kind), 1000, least).collect()}
+        want = {(s, t, round(c, 9)) for s, e, x in a for t, f, y in b if e == f and (c := len({*x} & {*y}) / (len(x) * len(y)) ** 0.5) >= least}
+        assert got == want
+
+
 def test_ivf_recall(spark):
     s, t = vectors(spark, 200, 1), vectors(spark, 400, 2)
     exact = {(r.source, r.target) for r in knn.nearest(s, t, 3).collect()}
