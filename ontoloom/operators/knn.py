@@ -67,7 +67,10 @@ def nearest(src: DataFrame, tgt: DataFrame, k: int | DataFrame, tile: int = TILE
     """
     s = _tiles(src.select("uri", F.col("etype").cast("string").alias("etype"), "vec"), "s", tile)
     t = _tiles(tgt.select("uri", F.col("etype").cast("string").alias("etype"), "vec"), "t", tile)
-    pairs = s.join(t, "etype")
+    # Keyed by the target's tile as well, so that a hot type does not meet in one partition.
+    tiles = tgt.groupBy(F.col("etype").cast("string").alias("etype")).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("_m"))
+    s = s.join(F.broadcast(tiles), "etype").withColumn("t_tile", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
+    pairs = s.join(t, ["etype", "t_tile"])
     pairs = pairs.withColumn("k", F.lit(k)) if isinstance(k, int) else pairs.join(F.broadcast(k.select(F.col("etype").cast("string").alias("etype"), F.col("k").cast("int").alias("k"))), "etype")
     found = pairs.repartition("etype", "s_tile", "t_tile").select("etype", "s", "t", "k").mapInArrow(_best, FOUND)
     out = ranked(found)
