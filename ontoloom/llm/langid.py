@@ -130,7 +130,8 @@ def fused(scored: DataFrame, langs: list[str]) -> DataFrame:
     # One row of totals; and tables of bounded size: suffixes and declarable languages have two or three letters.
     wide = suffixes.crossJoin(F.broadcast(every)).withColumn("_g", each(lambda i: (F.col("_g")[i] + 1.0) / (total(F.col("_g")) + float(k))))
     wide = wide.select("_suffix", each(lambda i: smooth(F.col("_s")[i], total(F.col("_s")), SUFFIX_WEIGHT, F.col("_g")[i])).alias("_wide"))
-    hosts = hosts.join(F.broadcast(wide), "_suffix").select(F.col("host").alias("_host"), "_h", "_wide")
+    # As a table of its own the hosts meet pages in a plain join, whose hot partitions adaptive execution can split.
+    hosts = written(hosts.join(F.broadcast(wide), "_suffix").select(F.col("host").alias("_host"), "_h", "_wide"), "hosts")
     told = rows.where("declared is not null and text_lang is not null").groupBy("declared").agg(filled(votes).alias("_d"))
     of_all = told.agg(F.array(*[F.sum(F.col("_d")[i]) for i in range(k)]).alias("_n"))
     chance = F.col("_d"), F.col("_n")
