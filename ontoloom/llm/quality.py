@@ -146,3 +146,22 @@ def clean(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+_HAS = " or ".join(f"contains(low, '{p}')" for p in PHRASES)
+ORACLE = rf"""
+with d as (select row_number() over () as rn, doc_id, coalesce(text, '') as t from documents),
+w as (select rn, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w from d),
+win as (select rn, i, array_to_string(w[i : i + 4], ' ') as s from (select rn, w, unnest(range(1, len(w) - 3)) as i from w where len(w) >= 5)),
+twice as (select rn, s from win group by rn, s having count(*) > 1),
+rep as (select rn, count(distinct p) as n from (select rn, unnest(range(i, i + 5)) as p from win join twice using (rn, s)) group by rn),
+ln as (select rn, l, regexp_extract_all(l, '[^\x20\x09-\x0D]+') as lw, translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low from (select rn, unnest(string_split(t, chr(10))) as l from d)),
+f as (select rn, l, low, lw, len(lw) as n, length(l) - length(replace(l, '|', '')) as menu, len(regexp_extract_all(l, '[#*$%&|<>]')) as sym, len(regexp_extract_all(l, '[!?]')) as shout,
+  regexp_matches(lw[-1], '[.!?"'')\]:;]$|[^\x00-\x7F]$') as ends, len(list_filter(range(2, len(lw) + 1), lambda i: lw[i] = lw[i - 1])) as again from ln where len(lw) > 0),
+v as (select *, (menu >= {MENU} and menu >= {MENU_SHARE}::double * n) or sym > {SYMBOLS}::double * greatest(n, 3) or shout > {SHOUTS}::double * greatest(n, 3) or (n < {STUB} and not ends)
+  or again > {STUTTER}::double * greatest(n, 6) or {_HAS} as bad from f),
+k as (select rn, count(*) - count(distinct l) as dup, coalesce(sum(n) filter (not bad), 0) as kept from v group by rn),
+o as (select doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint as n_symbols,
+  coalesce(dup, 0)::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words, coalesce(kept, 0)::bigint as n_kept_words from w left join rep using (rn) left join k using (rn))
+select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and n_kept_words >= {KEEP}::double * n_words as kept from o
+"""

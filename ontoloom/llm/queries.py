@@ -16,9 +16,11 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_secret_scan": secrets.ORACLE,
     "op2_decontaminate": decontaminate.ORACLE,
     "op3_warc": warc.ORACLE,
     "op4_substring_dedup": substrings.ORACLE,
+    "op5_quality_rules": quality.ORACLE,
     "op6_chat_format": chat.ORACLE,
     "op9_url_filter": urlfilter.ORACLE,
 }

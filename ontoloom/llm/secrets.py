@@ -134,3 +134,22 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]", ledger: str | None = None)
     )
     out = met.withColumn("text", F.when(F.col(found).isNull(), F.col("text")).otherwise(cut)).select(*[F.col(f"`{c}`") for c in docs.columns])
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def _kind_sql(rank: int, kind: str, pattern: str, group: int, least: int, base: bool) -> str:
+    p = "'" + pattern.replace("'", "''") + "'"
+    return f"select rn, '{kind}' as kind, {rank} as rank, {base} as base, {least} as least, regexp_extract_all(t, {p}) as m, regexp_extract_all(t, {p}, {group}) as g, string_split_regex(t, {p}) as s from d where regexp_matches(t, {p})"
+
+
+# A match starts after all that lies before it: the pieces between matches and the matches themselves.
+ORACLE = f"""
+with d as (select row_number() over () as rn, doc_id, coalesce(text, '') as t from documents),
+k as ({" union all ".join(_kind_sql(i, *r) for i, r in enumerate(RULES))}),
+x as (select *, unnest(range(1, len(m) + 1)) as i from k),
+y as (select rn, kind, rank, base, least, length(g[i]) as held, length(m[i]) as n,
+  coalesce(list_sum(list_transform(s[1:i], lambda z: length(z))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda z: length(z))), 0) as a from x),
+z as (select rn, kind, rank, base, a, kind || ':' || a::bigint || ':' || (a + n)::bigint as span from y where held >= least)
+select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
+  sha256(coalesce(string_agg(span, ',' order by a, rank) filter (base), '')) as base_sha256, coalesce(string_agg(span, ',' order by a, rank), '') as spans
+from d left join z using (rn) group by rn, doc_id
+"""
