@@ -142,6 +142,7 @@ def _placed(batches: Iterator[pa.RecordBatch], sieve, window: int) -> Iterator[p
                 said = " ".join(low[s:e].decode() for s, e in zip(begins[a:b].tolist(), ends[a:b].tolist(), strict=True))
                 rows[i].append({"key": key, "place": p - first[i], "before": p - a, "words": said})
             uid = T.mix(np.add.reduceat(np.append(hashes * (words.place().astype(np.uint64) * np.uint64(2) + np.uint64(1)), np.uint64(0)), words.first[:-1])) if len(hashes) else np.zeros(part.num_rows, np.uint64)
+            uid[words.count == 0] = 0  # reduceat has no empty sums
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(uid.view(np.int64)), pa.array(words.count.astype(np.int64)), pa.array(rows, _PLACES)], ["doc_id", "uid", "n_words", "places"])
 
 
