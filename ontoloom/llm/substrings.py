@@ -82,10 +82,11 @@ class Block:
         return start, a[edge], b[edge], least, member
 
 
-def _ranges(sorted_hashes: np.ndarray, n: int) -> np.ndarray:
-    """Edges of the n ranges of hash in a sorted array."""
-    marks = [(i << 64) // n for i in range(1, n)]
-    return np.concatenate([[0], np.searchsorted(sorted_hashes, np.array(marks, np.uint64)), [len(sorted_hashes)]])
+def _ranges(sorted_hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the n ranges of hash a sorted array has, and the edges of each in it; nothing here is as long as n."""
+    where = ((sorted_hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+    has, begin = np.unique(where, return_index=True)
+    return has, np.append(begin, len(where))
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -98,21 +99,24 @@ def _whole(planes: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
 
 
-def _answers(told: pa.Table, phase: int, sizes: np.ndarray) -> np.ndarray:
+def _answers(told: pa.Table, phase: int, ranges: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """One flag per hash that the block sent in a phase, in the order of ranges."""
-    out, edges = np.zeros(int(sizes.sum()), bool), np.concatenate([[0], np.cumsum(sizes)])
+    has, edges = ranges
+    out = np.zeros(int(edges[-1]), bool)
     for r, p, bits in zip(*(told.column(c).to_pylist() for c in ("range", "phase", "bits")), strict=True):
-        if p == phase and sizes[r]:
-            out[edges[r] : edges[r + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(sizes[r])).astype(bool)
+        if p == phase:
+            i = int(np.searchsorted(has, r))
+            a, b = int(edges[i]), int(edges[i + 1])
+            out[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
     return out
 
 
-def _send(block: int, phase: int, edges: np.ndarray, hashes: np.ndarray, more: np.ndarray | None = None, docs: np.ndarray | None = None) -> pa.Table:
-    full = np.flatnonzero(np.diff(edges))
-    cut = lambda x, pack: [pack(x[edges[r] : edges[r + 1]]) if x is not None else None for r in full]
-    n = len(full)
+def _send(block: int, phase: int, ranges: tuple[np.ndarray, np.ndarray], hashes: np.ndarray, more: np.ndarray | None = None, docs: np.ndarray | None = None) -> pa.Table:
+    has, edges = ranges
+    n = len(has)
+    cut = lambda x, pack: [pack(x[a:b]) if x is not None else None for a, b in zip(edges[:-1], edges[1:], strict=True)]
     return pa.table({
-        "range": pa.array(full.astype(np.int32)), "block": pa.array(np.full(n, block, np.int32)), "phase": pa.array(np.full(n, phase, np.int32)),
+        "range": pa.array(has.astype(np.int32)), "block": pa.array(np.full(n, block, np.int32)), "phase": pa.array(np.full(n, phase, np.int32)),
         "hashes": pa.array(cut(hashes, lambda x: x.tobytes()), pa.binary()), "more": pa.array(cut(more, lambda x: x.tobytes()), pa.binary()), "docs": pa.array(cut(docs, _planes), pa.binary()),
     })
 
@@ -183,7 +187,7 @@ def dedup(docs: DataFrame, blocks: int | None = None) -> DataFrame:
 
     def answered(table: pa.Table, told: pa.Table) -> tuple:
         block = Block(in_order(table))
-        elsewhere = _answers(told, 0, np.diff(_ranges(block.anchors, n)))
+        elsewhere = _answers(told, 0, _ranges(block.anchors, n))
         return block, block.windows(elsewhere)
 
     def windows(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
@@ -196,7 +200,7 @@ def dedup(docs: DataFrame, blocks: int | None = None) -> DataFrame:
         if not table.num_rows:
             return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept_sha256": pa.array([], pa.string())})
         block, (start, one, _, least, member) = answered(table, told)
-        elsewhere = _answers(told, 1, np.diff(_ranges(one, n)))
+        elsewhere = _answers(told, 1, _ranges(one, n))
         hit = elsewhere[member] | (least[member] < block.rank[block.owner[start]])
         return _kept(block, T.covered(start[hit], WINDOW, block.n))
 

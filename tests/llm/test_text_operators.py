@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -126,6 +127,9 @@ def test_contamination_equals_brute_force(spark, docs):
             assert (r.n_words, r.n_hit, r["items"]) == want
         else:
             assert "1" in r["items"] and r.n_hit >= 10
+    same = docs([(1, "ab"), (1, ""), (1, None), (1, "ab")])
+    one = spark.createDataFrame([(3, "ab")], "item_id long, text string")
+    assert sorted((r.n_words, r.n_hit) for r in decontaminate.contaminated(same.coalesce(1), one).collect()) == [(0, 0), (0, 0), (1, 1), (1, 1)]
     empty = bench.limit(0)
     assert decontaminate.contaminated(docs(texts[:3]), empty).agg(F.sum("n_hit")).first()[0] == 0
     assert decontaminate.contaminated(docs(texts[:3]).limit(0), bench).count() == 0
@@ -167,6 +171,15 @@ def test_substrings_equal_brute_force(docs, blocks):
     assert substrings.dedup(df.limit(0)).count() == 0
 
 
+def test_ranges_are_sorted_runs_and_none_is_empty():
+    hashes = np.unique(np.random.default_rng(1).integers(0, 1 << 64, 5000, np.uint64))
+    for n in (1, 3, 128, 10**6, 1 << 31):
+        has, edges = substrings._ranges(hashes, n)
+        assert (np.diff(has) > 0).all() and 0 <= has[0] and has[-1] < n and (np.diff(edges) > 0).all() and edges[0] == 0 and edges[-1] == len(hashes)
+    has, edges = substrings._ranges(hashes[:0], 128)
+    assert len(has) == 0 and edges.tolist() == [0]
+
+
 def test_cover_has_every_difference():
     for d in range(substrings.PERIOD):
         assert any((a + d) % substrings.PERIOD in substrings.COVER for a in substrings.COVER)
