@@ -15,6 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ontoloom.llm import text as T
 from ontoloom.shared import unused, written
@@ -52,12 +53,16 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def _column(texts: pa.Array) -> pa.Array:
+    """The fingerprints of a column of texts, as signed longs."""
+    at, data = T.buffers(texts)
+    raw, at = data.tobytes(), at.tolist()
+    return pa.array(np.array([fingerprint(raw[a:b]) for a, b in zip(at, at[1:], strict=False)], np.uint64).view(np.int64))
+
+
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        at, data = T.buffers(batch.column("text"))
-        raw, at = data.tobytes(), at.tolist()
-        got = np.array([fingerprint(raw[a:b]) for a, b in zip(at, at[1:], strict=False)], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got)], ["doc_id", "print"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _column(batch.column("text"))], ["doc_id", "print"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -170,6 +175,18 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("vertex"), F.col("v").alias("component")) if not after.isEmpty() else after.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
 
 
+#: names of components without any id lie beyond this
+_NO_IDS = (1 << 63) - 1 - (1 << 40)
+
+
+def _leads(prints: DataFrame) -> DataFrame:
+    """_print, _lead of each distinct fingerprint of ``prints`` (doc_id, print): its component's smallest doc_id, or a
+    number above _NO_IDS where no row of the component has one."""
+    vertices = written(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "vertices")
+    named = vertices.select("print", F.coalesce("least", F.lit((1 << 63) - 1) - F.pmod(F.xxhash64("print"), F.lit(1 << 40))).alias("vertex"))
+    return named.join(components(pairs(named)), "vertex", "left").select(F.col("print").alias("_print"), F.coalesce("component", "vertex").alias("_lead"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, print and component_id (the smallest doc_id reachable over links of distance <= RADIUS) per row.
 
@@ -177,22 +194,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     has an id: then component_id is null. Texts without words have fingerprint zero and are linked like others.
     """
     prints = written(fingerprints(docs), "prints")
-    vertices = written(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "vertices")
-    # A vertex without any id still links others, under a name of its own beyond all ids.
-    named = vertices.select("print", F.coalesce("least", F.lit((1 << 63) - 1) - F.pmod(F.xxhash64("print"), F.lit(1 << 40))).alias("vertex"))
-    found = components(pairs(named))
-    whose = named.join(found, "vertex", "left").join(vertices.select(F.col("print").alias("_p"), "least"), F.col("print") == F.col("_p"))
-    limit = (1 << 63) - 1 - (1 << 40)
-    lead = F.coalesce("component", "vertex")
-    whose = whose.select(F.col("print").alias("_print"), F.when(lead < limit, lead).alias("component_id"))
-    return prints.join(whose, F.col("print") == F.col("_print")).select("doc_id", "print", "component_id")
+    met = prints.join(_leads(prints), F.col("print") == F.col("_print"))
+    return met.select("doc_id", "print", F.when(F.col("_lead") < _NO_IDS, F.col("_lead")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs``: of each component the row with the smallest doc_id stays; rows without an id all stay."""
-    found, gone_id = near_duplicates(docs), unused(docs, "_gone")
-    gone = found.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias(gone_id)).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col(gone_id), "left_anti")
+    """The columns of ``docs``, one row of each component: that with the smallest doc_id, any one of them where rows
+    repeat or share it, and any one where no row has an id.
+
+    Rows are told apart by numbers that are stored with them, so rows that share an id are judged each by its own text.
+    """
+    number, print_ = unused(docs, "_row"), unused(docs, "_print")
+    names = [*docs.columns, print_]
+
+    def add(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, _column(batch.column("text"))], names)
+
+    stored = docs.mapInArrow(add, StructType([*docs.schema.fields, StructField(print_, LongType())])).withColumn(number, F.monotonically_increasing_id())
+    stored = written(stored, "numbered")
+    slim = stored.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(print_).alias("print"), F.col(number).alias("row"))
+    met = slim.join(_leads(slim), F.col("print") == F.col("_print"))
+    first = F.min(F.when((F.col("doc_id") == F.col("_lead")) | (F.col("_lead") >= _NO_IDS), F.col("row")))
+    stay = met.groupBy("_lead").agg(first.alias(unused(stored, "_stay"))).select(unused(stored, "_stay"))
+    return stored.join(stay, F.col(number) == F.col(unused(stored, "_stay")), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

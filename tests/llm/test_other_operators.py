@@ -155,8 +155,12 @@ def test_near_duplicates_without_ids_or_rows(spark):
     df = spark.createDataFrame([(None, "a b c d"), (5, "a b c d"), (4, "a b c d"), (4, "a b c d"), (None, "q r s t u"), (9, "x y z")], "doc_id long, text string").withColumn("_gone", F.lit(0))
     rows = [(r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()]
     assert sorted(rows, key=repr) == sorted([(None, 4), (5, 4), (4, 4), (4, 4), (None, None), (9, 9)], key=repr)
-    assert sorted((r.doc_id for r in simhash.keep_one(df).collect()), key=repr) == sorted([None, 4, 4, None, 9], key=repr)
+    assert sorted((r.doc_id for r in simhash.keep_one(df).collect()), key=repr) == sorted([4, None, 9], key=repr)
     assert simhash.near_duplicates(df.limit(0)).count() == 0
+    assert simhash.keep_one(df.limit(0)).count() == 0 and simhash.keep_one(df).columns == df.columns
+    # Rows that share an id are judged by their own texts; of rows without ids that repeat one stays.
+    df = spark.createDataFrame([(2, "a b c d"), (4, "a b c d"), (4, "q r s t u"), (None, "x y z"), (None, "x y z")], "doc_id long, text string").withColumns({"_row": F.lit(1), "_print": F.lit(2), "_stay": F.lit(3)})
+    assert sorted(((r.doc_id, r.text) for r in simhash.keep_one(df).collect()), key=repr) == sorted([(2, "a b c d"), (4, "q r s t u"), (None, "x y z")], key=repr)
 
 
 # --- packing ------------------------------------------------------------------------------------------------
