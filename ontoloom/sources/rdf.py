@@ -26,6 +26,8 @@ XML = "http://www.w3.org/XML/1998/namespace"
 Triple = tuple[str, bool, str, str, str, str | None, str | None]
 SUFFIXES = {".ttl": "turtle", ".nt": "turtle", ".rdf": "rdfxml", ".owl": "rdfxml", ".xml": "rdfxml", ".ofn": "functional", ".omn": "manchester"}
 BATCH = 10_000
+#: bytes of an N-Triples file that one task reads
+SPLIT = 64 << 20
 
 
 class SyntaxProblem(ValueError):
@@ -417,21 +419,25 @@ class _Reader(DataSourceReader):
         self.options, self.predicates = options, None
 
     def partitions(self) -> list[InputPartition]:
+        """One a file; N-Triples, whose lines stand alone, are cut into ranges of SPLIT bytes."""
         where, path = fs.FileSystem.from_uri(self.options["path"])
         found = where.get_file_info(path)
         if found.type == fs.FileType.Directory:
-            files = [x.path for x in where.get_file_info(fs.FileSelector(path, recursive=True)) if x.type == fs.FileType.File and not x.base_name.startswith(("_", "."))]
-            return [InputPartition(x) for x in sorted(files)] or [InputPartition(None)]
-        if found.type == fs.FileType.NotFound:
+            files = [x for x in where.get_file_info(fs.FileSelector(path, recursive=True)) if x.type == fs.FileType.File and not x.base_name.startswith(("_", "."))]
+        elif found.type == fs.FileType.NotFound:
             raise FileNotFoundError(path)
-        return [InputPartition(path)]
+        else:
+            files = [found]
+        split = int(self.options.get("splitbytes", self.options.get("splitBytes", SPLIT)))
+        ranges = [(x.path, at, min(at + split, x.size)) for x in sorted(files, key=lambda x: x.path) for at in (range(0, x.size, split) if x.path.endswith(".nt") else (0,))]
+        return [InputPartition(x) for x in ranges] or [InputPartition(None)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string()]
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], names)
         rows: list[Triple] = []
-        for t in self._triples(partition.value) if partition.value is not None else ():
+        for t in self._triples(*partition.value) if partition.value is not None else ():
             if self.predicates is None or t[2] in self.predicates:
                 rows.append(t)
                 if len(rows) >= BATCH:
@@ -439,17 +445,40 @@ class _Reader(DataSourceReader):
                     rows = []
         yield pack(rows)
 
-    def _triples(self, path: str) -> Iterator[Triple]:
+    def _lines(self, path: str, begin: int, end: int) -> Iterator[bytes]:
+        """The lines that begin in a range of a file's bytes."""
+        where, _ = fs.FileSystem.from_uri(self.options["path"])
+        with where.open_input_file(path) as file:
+            # From the byte before: only a line feed there lets a line begin at ``begin``.
+            at, left, first = max(0, begin - 1), b"", begin > 0
+            file.seek(at)
+            while at < end:
+                piece = file.read(1 << 20)
+                *lines, left = (left + piece).split(b"\n") if piece else (left, b"")
+                for line in lines:
+                    if at >= end:
+                        return
+                    at += len(line) + 1
+                    if first:
+                        first = False
+                    else:
+                        yield line
+                if not piece:
+                    return
+
+    def _triples(self, path: str, begin: int, end: int) -> Iterator[Triple]:
         where, _ = fs.FileSystem.from_uri(self.options["path"])
         skip = self.options.get("onerror", self.options.get("onError", "fail")) == "skip"
         if path.endswith(".nt"):
-            with where.open_input_stream(path) as stream:
-                left = b""
-                while piece := stream.read(1 << 20):
-                    *lines, left = (left + piece).split(b"\n")
-                    yield from filter(None, map(ntriples_line, (x.decode() for x in lines)))
-                if (last := ntriples_line(left.decode())) is not None:
-                    yield last
+            for line in self._lines(path, begin, end):
+                try:
+                    found = ntriples_line(line.decode("utf-8", errors="replace"))
+                except SyntaxProblem:
+                    if not skip:
+                        raise
+                    continue
+                if found is not None:
+                    yield found
             return
         with where.open_input_stream(path) as stream:
             text = stream.read().decode("utf-8", errors="replace")

@@ -141,3 +141,20 @@ def test_kg_evaluation(spark, tmp_path):
     (refs / "starwars-swg.tsv").write_text("a\tb\n")
     row = run.evaluate_knowledge_graphs(spark, str(tmp_path), str(tmp_path / "kg")).first()
     assert (row.true_positives, row.ignored, row.task) == (1, 1, "starwars-swg")
+
+
+def test_ntriples_are_cut_at_lines(spark, tmp_path):
+    place = tmp_path / "big.nt"
+    lines = [f'<http://x#{i}> <http://p> "{"é" * (i % 13)}" .' for i in range(60)] + ["", "# c", "no triple at all"]
+    place.write_text("\n".join(lines))
+    for size in (1, 7, 64, 1000, 1 << 20):
+        rows = rdf.read_triples(spark, str(place), splitBytes=str(size), onError="skip").collect() if size > 7 else None
+        if rows is not None:
+            assert sorted((r.subject, r.object) for r in rows) == sorted((f"http://x#{i}", "é" * (i % 13)) for i in range(60))
+        reader = rdf._Reader({"path": str(place), "splitbytes": str(size)})
+        cut = [line for part in reader.partitions() for line in reader._lines(*part.value)]
+        assert [x.decode() for x in cut] == lines
+    with pytest.raises(Exception, match="n-triples"):
+        rdf.read_triples(spark, str(place)).collect()
+    (tmp_path / "none.nt").write_text("")
+    assert rdf.read_triples(spark, str(tmp_path / "none.nt")).count() == 0
