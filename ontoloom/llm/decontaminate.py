@@ -78,6 +78,11 @@ def _bloom(keys: DataFrame, sizes: list[int]) -> Bloom:
     return Bloom(bits, table.view(np.uint8), sizes)
 
 
+def _sent(bloom: Bloom, spark: SparkSession):
+    """The filter's parts as a broadcast: those are pickled by reference, and executors have no copy of this module."""
+    return spark.sparkContext.broadcast((bloom.bits, bloom.table, bloom.sizes))
+
+
 def _items(batches: Iterator[pa.RecordBatch], window: int, shingle: int) -> Iterator[pa.RecordBatch]:
     """item_id, size (words a shingle), span (words a window), place and key of each shingle of each item."""
     names = ["item_id", "uid", "size", "span", "place", "n_words", "key", "words"]
@@ -104,7 +109,7 @@ def _items(batches: Iterator[pa.RecordBatch], window: int, shingle: int) -> Iter
 
 def _counted(batches: Iterator[pa.RecordBatch], sieve) -> Iterator[pa.RecordBatch]:
     """How often keys of the filter begin in documents, summed up over what a batch has."""
-    bloom = sieve.value
+    bloom = Bloom(*sieve.value)
     for batch in batches:
         found = [np.zeros(0, np.uint64)]
         for part in T.chunks(batch, "text"):
@@ -122,7 +127,7 @@ _PLACES = pa.list_(pa.struct([("key", pa.int64()), ("place", pa.int32()), ("befo
 
 def _placed(batches: Iterator[pa.RecordBatch], sieve, window: int) -> Iterator[pa.RecordBatch]:
     """doc_id, uid (a hash of the words), n_words and the places of the filter's keys with the words around them."""
-    bloom = sieve.value
+    bloom = Bloom(*sieve.value)
     for batch in batches:
         for part in T.chunks(batch, "text"):
             words = _words(*T.buffers(part.column("text")))
@@ -175,10 +180,10 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingl
     told = written(items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(lambda b: _items(b, window, shingle), schema), "shingles")
     sizes = sorted(r[0] for r in told.select("size").distinct().collect())  # at most SHINGLE of them
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sieve = spark.sparkContext.broadcast(_bloom(told.select("key").distinct(), sizes))
+    sieve = _sent(_bloom(told.select("key").distinct(), sizes), spark)
     counts = texts.mapInArrow(lambda b: _counted(b, sieve), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     picked = written(prefixes(told, counts), "prefixes")
-    fine = spark.sparkContext.broadcast(_bloom(picked.select("key").distinct(), sizes))
+    fine = _sent(_bloom(picked.select("key").distinct(), sizes), spark)
     kind = "doc_id long, uid long, n_words long, places array<struct<key:long,place:int,before:int,words:string>>"
     placed = written(texts.mapInArrow(lambda b: _placed(b, fine, window), kind), "places")
     spread = placed.select("doc_id", "uid", "n_words", F.explode("places").alias("p")).select("doc_id", "uid", "n_words", "p.*")
