@@ -175,27 +175,26 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("vertex"), F.col("v").alias("component")) if not after.isEmpty() else after.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
 
 
-#: names of components without any id lie beyond this
-_NO_IDS = (1 << 63) - 1 - (1 << 40)
-
-
 def _leads(prints: DataFrame) -> DataFrame:
-    """_print, _lead of each distinct fingerprint of ``prints`` (doc_id, print): its component's smallest doc_id, or a
-    number above _NO_IDS where no row of the component has one."""
+    """_print, _component, _lead of each distinct fingerprint of ``prints`` (doc_id, print): the smallest fingerprint of
+    its component, which names that one alone, and the component's smallest doc_id, null where no row of it has one."""
     vertices = written(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "vertices")
-    named = vertices.select("print", F.coalesce("least", F.lit((1 << 63) - 1) - F.pmod(F.xxhash64("print"), F.lit(1 << 40))).alias("vertex"))
-    return named.join(components(pairs(named)), "vertex", "left").select(F.col("print").alias("_print"), F.coalesce("component", "vertex").alias("_lead"))
+    # Documents that share an id have several fingerprints: only these tell vertices apart.
+    found = components(pairs(vertices.select(F.col("print").alias("vertex"), "print")))
+    named = vertices.join(found, F.col("print") == F.col("vertex"), "left").select("print", "least", F.coalesce("component", "print").alias("_component"))
+    lead = named.groupBy(F.col("_component").alias("_c")).agg(F.min("least").alias("_lead"))
+    return named.join(lead, F.col("_component") == F.col("_c")).select(F.col("print").alias("_print"), "_component", "_lead")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, print and component_id (the smallest doc_id reachable over links of distance <= RADIUS) per row.
 
     Repeated rows repeat. A null doc_id has a fingerprint and takes part, but names a component only if no row of it
-    has an id: then component_id is null. Texts without words have fingerprint zero and are linked like others.
+    has an id: then component_id is null. Components whose smallest ids are the same are apart by their prints. Texts without words have fingerprint zero and are linked like others.
     """
     prints = written(fingerprints(docs), "prints")
     met = prints.join(_leads(prints), F.col("print") == F.col("_print"))
-    return met.select("doc_id", "print", F.when(F.col("_lead") < _NO_IDS, F.col("_lead")).alias("component_id"))
+    return met.select("doc_id", "print", F.col("_lead").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -215,8 +214,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     stored = written(stored, "numbered")
     slim = stored.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(print_).alias("print"), F.col(number).alias("row"))
     met = slim.join(_leads(slim), F.col("print") == F.col("_print"))
-    first = F.min(F.when((F.col("doc_id") == F.col("_lead")) | (F.col("_lead") >= _NO_IDS), F.col("row")))
-    stay = met.groupBy("_lead").agg(first.alias(unused(stored, "_stay"))).select(unused(stored, "_stay"))
+    first = F.min(F.when((F.col("doc_id") == F.col("_lead")) | F.col("_lead").isNull(), F.col("row")))
+    stay = met.groupBy("_component").agg(first.alias(unused(stored, "_stay"))).select(unused(stored, "_stay"))
     return stored.join(stay, F.col(number) == F.col(unused(stored, "_stay")), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -163,6 +163,19 @@ def test_near_duplicates_without_ids_or_rows(spark):
     assert sorted(((r.doc_id, r.text) for r in simhash.keep_one(df).collect()), key=repr) == sorted([(2, "a b c d"), (4, "q r s t u"), (None, "x y z")], key=repr)
 
 
+def test_near_duplicates_of_documents_that_share_an_id(spark):
+    far = [(4, "a b c d"), (4, "q r s t u")]
+    df = spark.createDataFrame(far, "doc_id long, text string")
+    assert sorted(tuple(r) for r in simhash.keep_one(df).collect()) == far
+    # One of them has a copy with a smaller id: the other keeps its own component, and a row in it.
+    for one, other in (far, far[::-1]):
+        rows = [*far, (2, one[1]), (None, "x y z"), (None, "k l m")]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        want = [(2, one[1]), other, (None, "x y z"), (None, "k l m")]
+        assert sorted((tuple(r) for r in simhash.keep_one(df).collect()), key=repr) == sorted(want, key=repr)
+        assert sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()), key=repr) == sorted([(4, 2), (4, 4), (2, 2), (None, None), (None, None)], key=repr)
+
+
 # --- packing ------------------------------------------------------------------------------------------------
 
 
