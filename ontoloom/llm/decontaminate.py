@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ontoloom.llm import text as T
 from ontoloom.shared import unused, written
@@ -37,6 +38,15 @@ def _shingles(words: T.Words, hashes: np.ndarray, size: int) -> tuple[np.ndarray
     return begin, T.rolled(hashes, size, size)[begin]
 
 
+def _uids(words: T.Words, hashes: np.ndarray) -> np.ndarray:
+    """A hash of each text's words in order; no words: zero."""
+    if not len(hashes):
+        return np.zeros(len(words.count), np.uint64)
+    uid = T.mix(np.add.reduceat(np.append(hashes * (words.place().astype(np.uint64) * np.uint64(2) + np.uint64(1)), np.uint64(0)), words.first[:-1]))
+    uid[words.count == 0] = 0  # reduceat has no empty sums
+    return uid
+
+
 class Bloom:
     """A filter of 64-bit keys: 2**bits bits, PROBES probes each."""
 
@@ -146,8 +156,7 @@ def _placed(batches: Iterator[pa.RecordBatch], sieve, window: int) -> Iterator[p
                 a, b = max(first[i], p - window + 1), min(first[i + 1], p + window)
                 said = " ".join(low[s:e].decode() for s, e in zip(begins[a:b].tolist(), ends[a:b].tolist(), strict=True))
                 rows[i].append({"key": key, "place": p - first[i], "before": p - a, "words": said})
-            uid = T.mix(np.add.reduceat(np.append(hashes * (words.place().astype(np.uint64) * np.uint64(2) + np.uint64(1)), np.uint64(0)), words.first[:-1])) if len(hashes) else np.zeros(part.num_rows, np.uint64)
-            uid[words.count == 0] = 0  # reduceat has no empty sums
+            uid = _uids(words, hashes)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(uid.view(np.int64)), pa.array(words.count.astype(np.int64)), pa.array(rows, _PLACES)], ["doc_id", "uid", "n_words", "places"])
 
 
@@ -175,6 +184,11 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingl
     Null text has no words, an item without words no window. Rows that share a doc_id are told apart by their words;
     equal rows give equal results. A null item_id counts for n_hit and has no place in ``items``. No items: no hits.
     """
+    return _judged(docs, items, window, shingle).drop("uid")
+
+
+def _judged(docs: DataFrame, items: DataFrame, window: int, shingle: int) -> DataFrame:
+    """What contaminated() gives, and uid."""
     spark = docs.sparkSession
     schema = "item_id long, uid long, size int, span int, place int, n_words int, key long, words string"
     told = written(items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(lambda b: _items(b, window, shingle), schema), "shingles")
@@ -199,14 +213,27 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingl
     )
     hits = hits.select("_doc", "_uid", union.cast("long").alias("_n"), F.array_sort(F.transform("_items", lambda x: x.cast("string"))).alias("_items"))
     out = placed.select("doc_id", "uid", "n_words").join(hits, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("uid") == F.col("_uid")), "left")
-    return out.select("doc_id", "n_words", F.coalesce("_n", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("_items", F.array().cast("array<string>")).alias("items"))
+    return out.select("doc_id", "uid", "n_words", F.coalesce("_n", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("_items", F.array().cast("array<string>")).alias("items"))
 
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The columns of ``docs`` without documents that hold a window of an item."""
-    gone_id = unused(docs, "_gone")
-    gone = contaminated(docs, items).where("n_hit > 0").select(F.col("doc_id").alias(gone_id)).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(gone_id)), "left_anti")
+    """The columns of ``docs`` without documents that hold a window of an item.
+
+    Rows are judged each by its own words, also where they share a doc_id or have none.
+    """
+    uid, gone_id, gone_uid = unused(docs, "_uid"), unused(docs, "_gone"), unused(docs, "_gone_uid")
+    names = [*docs.columns, uid]
+
+    def add(batches):
+        for batch in batches:
+            for part in T.chunks(batch, "text"):
+                words = _words(*T.buffers(part.column("text")))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_uids(words, words.hashes()).view(np.int64))], names)
+
+    told = docs.mapInArrow(add, StructType([*docs.schema.fields, StructField(uid, LongType())]))
+    gone = _judged(docs, items, WINDOW, SHINGLE).where("n_hit > 0").select(F.col("doc_id").alias(gone_id), F.col("uid").alias(gone_uid)).distinct()
+    left = told.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(gone_id)) & (F.col(uid) == F.col(gone_uid)), "left_anti")
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

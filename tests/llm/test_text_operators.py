@@ -137,6 +137,13 @@ def test_contamination_equals_brute_force(spark, docs):
     assert {r.doc_id for r in kept.collect()} == {i for i, t in enumerate(texts[:7]) if "ab cd" not in t} and kept.columns[-1] == "_gone"
 
 
+def test_keep_clean_judges_each_row_by_its_own_words(spark, docs):
+    rows = [(1, "x ab cd y"), (1, "clean one"), (1, None), (1, ""), (None, "ab cd"), (None, "clean too"), (None, None), (2, "ab cd"), (2, "AB, cd!"), (2, "cd ab"), (3, "clean one"), (3, "clean one")]
+    kept = decontaminate.keep_clean(docs(rows, {"_uid": F.lit(1), "_gone_uid": F.lit(2)}), spark.createDataFrame([(1, "ab cd")], "item_id long, text string"))
+    want = [r for r in rows if r not in [rows[0], rows[4], rows[7], rows[8]]]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(want, key=repr) and kept.columns[-2:] == ["_uid", "_gone_uid"]
+
+
 # --- substrings -----------------------------------------------------------------------------------------------
 
 
