@@ -12,7 +12,6 @@ Phases: *anchors* (do other blocks have it?), *windows* (has another block a sma
 *removal* (the block's own texts, with both answers).
 """
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +30,7 @@ NO_ID = (1 << 63) - 1
 
 SENT = "range int, block int, phase int, hashes binary, more binary, docs binary"
 TOLD = "block int, range int, phase int, bits binary"
-OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+OUT = "doc_id long, n_words long, kept string, removed array<struct<begin:long,end:long>>"
 
 
 class Block:
@@ -156,16 +155,26 @@ def _smaller(rows: pa.Table) -> pa.Table:
     return _tell(rows, _apart(flag, [len(x) for x in one]))
 
 
-def _kept(block: Block, removed: np.ndarray) -> pa.Table:
-    w, raw = block.words, block.words.data.tobytes()
-    begin, end, first = w.start.tolist(), w.end.tolist(), w.first.tolist()
-    gone = T.per_text(removed.astype(np.int64), w.first)
-    digests = [hashlib.sha256(b" ".join(raw[begin[j] : end[j]] for j in (np.flatnonzero(~removed[a:b]) + a).tolist())).hexdigest() for a, b in zip(first, first[1:], strict=False)]
-    return pa.table({"doc_id": block.ids, "n_words": pa.array(w.count.astype(np.int64)), "n_removed": pa.array(gone), "kept_sha256": pa.array(digests, pa.string())})
+_REMOVED = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
 
-def dedup(docs: DataFrame, blocks: int | None = None) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 per row of ``docs``.
+def _kept(block: Block, removed: np.ndarray) -> pa.Table:
+    w, raw = block.words, block.words.data.tobytes()
+    begin, end = w.start.tolist(), w.end.tolist()
+    kept = [b" ".join(raw[begin[j] : end[j]] for j in (np.flatnonzero(~removed[a:b]) + a).tolist()).decode() for a, b in zip(w.first, w.first[1:], strict=False)]
+    # Runs of removed words within a text, and how many begin in texts before each.
+    head, tail = removed.copy(), removed.copy()
+    head[1:] &= ~removed[:-1] | (block.place[1:] == 0)
+    tail[:-1] &= ~removed[1:] | (block.place[1:] == 0)
+    head, tail = np.flatnonzero(head), np.flatnonzero(tail)
+    runs = pa.StructArray.from_arrays([pa.array(block.place[head].astype(np.int64)), pa.array(block.place[tail].astype(np.int64) + 1)], fields=list(_REMOVED.value_type))
+    spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(head, w.first).astype(np.int32)), runs)
+    return pa.table({"doc_id": block.ids, "n_words": pa.array(w.count.astype(np.int64)), "kept": pa.array(kept, pa.string()), "removed": spans})
+
+
+def kept_texts(docs: DataFrame, blocks: int | None = None) -> DataFrame:
+    """doc_id, n_words, kept (the words that stay, a space between them) and removed (runs of the words that go, as
+    places of words from 0: begin, end past the last) per row of ``docs``.
 
     A word goes if a window of 13 words around it also starts in a document with a smaller doc_id. A null doc_id is
     larger than any, and rows with the same id are never smaller than one another. Null texts have no words.
@@ -198,7 +207,7 @@ def dedup(docs: DataFrame, blocks: int | None = None) -> DataFrame:
 
     def removal(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept_sha256": pa.array([], pa.string())})
+            return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "kept": pa.array([], pa.string()), "removed": pa.array([], _REMOVED)})
         block, (start, one, _, least, member) = answered(table, told)
         elsewhere = _answers(told, 1, _ranges(one, n))
         hit = elsewhere[member] | (least[member] < block.rank[block.owner[start]])
@@ -210,6 +219,12 @@ def dedup(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     return at.cogroup(several.unionByName(smaller).groupBy("block")).applyInArrow(removal, OUT)
 
 
+def dedup(docs: DataFrame, blocks: int | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of each row of kept_texts()."""
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, run: n + run["end"] - run["begin"])
+    return kept_texts(docs, blocks).select("doc_id", "n_words", gone.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

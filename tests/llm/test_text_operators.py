@@ -178,6 +178,20 @@ def test_substrings_equal_brute_force(docs, blocks):
     assert substrings.dedup(df.limit(0)).count() == 0
 
 
+def test_substrings_give_kept_texts_and_removed_runs(docs):
+    p, q, é = ([f"{k}{i}" for i in range(20)] for k in ("p", "q", "é"))
+    texts = [[*p], [*q], [*é], ["a", *p, "b", *q], [*p], [*p[:15]], [*é, "c", "é0"], [], ["d"]]
+    df = docs([(i, "  ".join(x)) for i, x in enumerate(texts)] + [(9, None)])
+    want = {0: [], 1: [], 2: [], 3: [(1, 21), (22, 42)], 4: [(0, 20)], 5: [(0, 15)], 6: [(0, 20)], 7: [], 8: [], 9: []}
+    for blocks in (1, 5):
+        rows = {r.doc_id: r for r in substrings.kept_texts(df, blocks).collect()}
+        assert {i: [tuple(x) for x in r.removed] for i, r in rows.items()} == want
+        for i, r in rows.items():
+            x = [*texts, []][i]
+            assert r.n_words == len(x) and r.kept == " ".join(w for j, w in enumerate(x) if not any(a <= j < b for a, b in want[i]))
+    assert substrings.kept_texts(df.limit(0)).count() == 0
+
+
 def test_ranges_are_sorted_runs_and_none_is_empty():
     hashes = np.unique(np.random.default_rng(1).integers(0, 1 << 64, 5000, np.uint64))
     for n in (1, 3, 128, 10**6, 1 << 31):
