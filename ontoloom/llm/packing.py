@@ -8,7 +8,6 @@ a piece that continues over a cut is a boundary record. Only the very last seque
 """
 
 import base64
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +23,9 @@ LENGTH, END = 2048, 1
 TOKENIZER = "byte_bpe_50k.json"
 #: texts tokenized at once are at most so many bytes, or one text
 AT_ONCE = 1 << 20
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, continues boolean"
+#: bytes of ids in a batch of pieces, about
+IDS_AT_ONCE = 4 << 20
+SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, continues boolean, ids binary"
 
 
 def _encoder(name: str):
@@ -60,8 +61,11 @@ def _tokenized(batches: Iterator[pa.RecordBatch], name: str, end: int) -> Iterat
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.int64()] * 6 + [pa.bool_(), pa.binary()]
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
     for batch in batches:
-        rows = []
+        rows, held = [], 0
         for doc_id, at, n, raw in zip(*(batch.column(c) for c in ("doc_id", "at", "n", "ids")), strict=True):
             doc_id, at, n, raw = doc_id.as_py(), at.as_py(), n.as_py(), raw.as_buffer()
             ids = np.frombuffer(raw, "<u2" if raw.size == 2 * n else "<u4").astype("<u4")
@@ -69,16 +73,19 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
             while start < n:
                 sequence, offset = divmod(at + start, length)
                 size = min(length - offset, n - start)
-                rows.append((doc_id, start, size, zlib.crc32(ids[start : start + size].tobytes()), n, sequence, offset, start > 0))
-                start += size
-        kinds = [pa.int64()] * 7 + [pa.bool_()]
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
+                rows.append((doc_id, start, size, n, sequence, offset, start > 0, ids[start : start + size].tobytes()))
+                start, held = start + size, held + 4 * size
+                if held >= IDS_AT_ONCE:
+                    yield made(rows)
+                    rows, held = [], 0
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            yield made(rows)
 
 
 def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str = TOKENIZER, end: int = END) -> DataFrame:
-    """One row per piece. A null text is empty: it is the end id alone. No documents: no pieces. Repeated rows are
+    """One row per piece; ids: its token ids, each as a little-endian uint32; ids_crc32: their checksum.
+
+    A null text is empty: it is the end id alone. No documents: no pieces. Repeated rows are
     packed as often as they come; a null doc_id stays null."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ids = written(rows.mapInArrow(lambda b: _tokenized(b, tokenizer, end), "doc_id long, part int, before long, n long, ids binary"), "tokens")
@@ -86,8 +93,9 @@ def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str = TOKENIZER, end:
     # One row for each task of pass one, summed up in order of the tasks.
     offsets = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("_offset"))
     placed = ids.join(F.broadcast(offsets), "part").select("doc_id", (F.col("before") + F.col("_offset")).alias("at"), "n", "ids")
-    return placed.mapInArrow(lambda b: _cut(b, length), SCHEMA)
+    return placed.mapInArrow(lambda b: _cut(b, length), SCHEMA).withColumn("ids_crc32", F.crc32("ids"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    pieces = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "continues")

@@ -203,6 +203,29 @@ def test_packing_is_whole_and_gapless(spark, docs):
     assert sorted(filled) == list(range(len(filled))) and packing.pack(df.limit(0)).count() == 0
 
 
+def test_packing_gives_the_ids_of_its_sequences(spark, docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    full = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["one two three", None, LONG[:300_000], "", "four five"]
+    df = docs(texts)
+    filled: dict = {}
+    for r in packing.pack(df, length=512).collect():
+        ids = np.frombuffer(r.ids, "<u4").tolist()
+        assert len(ids) == r.length
+        filled.setdefault(r.sequence_id, []).append((r.offset, r.doc_id, r.start, ids))
+    docs_ids: dict = {}
+    stream = []
+    for seq in sorted(filled):
+        for _, i, start, ids in sorted(filled[seq]):
+            assert start == len(docs_ids.setdefault(i, []))
+            docs_ids[i] += ids
+            stream += ids
+    assert docs_ids == {i: [*full.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    assert all(sum(len(x[3]) for x in filled[seq]) == 512 for seq in filled if seq != max(filled)) and len(stream) == sum(map(len, docs_ids.values()))
+
+
 # --- urls ----------------------------------------------------------------------------------------------------
 
 
