@@ -3,13 +3,18 @@
 Each version of a path is a blob, named by the SHA-256 of its content. The ledger is a table of
 (blob, rule_version, findings). A scan reads only blobs that the ledger lacks under the present rule
 version, appends them, and joins findings back to every path that ever held the blob.
+
+Texts are neither shuffled nor sorted to tell copies apart, only their names are: a task scans a blob
+the first time that it meets it, and of what several tasks found the ledger takes one row.
 """
 
 import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,37 +29,55 @@ RULES = [
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 0, False),
     ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 0, False),
 ]
-#: a rule set is named by what it says, so changed rules scan everything anew
-RULE_VERSION = hashlib.sha256(repr(RULES).encode()).hexdigest()[:16]
 FINDINGS = "array<struct<kind:string,start:bigint,end:bigint>>"
-
-
 #: what a text must hold for a rule to be worth a search
 NEEDS = {"assign": (":", "="), "access": ("AKIA",), "pem": ("-----BEGIN ",), "jwt": ("eyJ",), "github": ("gh",)}
+#: the same matches in one pass over the text, and the group before them. Only runs of the least length can count, maximal
+#: runs never overlap, and all matches in a run end where it ends; a token's first part is looked for once a run.
+AT_ONCE = {
+    "access": (r"AKIA[A-Z0-9]{16,}", None),
+    "hex": (r"[0-9a-f]{24,}", None),
+    "jwt": (r"(?<![A-Za-z0-9_-])((?:(?!eyJ)[A-Za-z0-9_-])*+)eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]++", 1),
+}
+#: names of blobs that a task remembers; more are scanned again, to the same result
+REMEMBERED = 1 << 17
 
 
 def find(text: str, rules: list[tuple] | None = None) -> list[tuple[int, int, int, str]]:
     """(start, rank of the kind, end, kind) of every match that counts, leftmost and not overlapping within a kind."""
     out = []
-    for rank, (kind, pattern, group, least, _) in enumerate(rules or _compiled()):
+    for rank, (kind, pattern, group, least, before) in enumerate(rules or _compiled()):
         if kind not in NEEDS or any(x in text for x in NEEDS[kind]):
-            out += [(m.start(), rank, m.end(), kind) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
+            out += [(m.end(before) if before else m.start(), rank, m.end(), kind) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
     return sorted(out)
 
 
 def _compiled() -> list[tuple]:
-    # Only runs of the least length can count, so the search asks for that length at once:
-    # maximal runs never overlap, and all matches in a run end where it ends.
-    at_once = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
-    return [(k, re.compile(at_once.get(k, p), re.ASCII), g, n, b) for k, p, g, n, b in RULES]
+    out = []
+    for kind, pattern, group, least, _ in RULES:
+        quick, before = AT_ONCE.get(kind, (pattern, None))
+        out.append((kind, re.compile(quick, re.ASCII), group, least, before))
+    return out
+
+
+#: a rule set is named by what it says and by the code that applies it, so changed rules scan everything anew
+RULE_VERSION = hashlib.sha256(repr((RULES, sorted(NEEDS.items()), sorted(AT_ONCE.items()), find.__code__.co_code, find.__code__.co_names)).encode()).hexdigest()[:16]
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-    rules = _compiled()
+    rules, met = _compiled(), set()
     for batch in batches:
-        found = [[{"kind": k, "start": a, "end": b} for a, _, b, k in find(t.as_py(), rules)] for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], ["blob", "findings"])
+        names, found = [], []
+        for blob, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if blob in met:
+                continue
+            if len(met) >= REMEMBERED:
+                met.clear()
+            met.add(blob)
+            names.append(blob)
+            found.append([{"kind": k, "start": a, "end": b} for a, _, b, k in find(text.as_py(), rules)])
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(found, kind)], ["blob", "findings"])
 
 
 def blob_of(content: Column) -> Column:
@@ -63,14 +86,18 @@ def blob_of(content: Column) -> Column:
 
 
 def scan_unseen(versions: DataFrame, ledger: str, content: str = "text") -> None:
-    """Scans blobs of ``versions`` that the ledger (a Parquet path) lacks under RULE_VERSION, and appends them."""
+    """Scans blobs of ``versions`` that the ledger (a Parquet path) lacks under RULE_VERSION, and appends them.
+
+    Null content is the empty blob; repeated rows and copies are one blob and one row of the ledger, an empty table adds none.
+    """
     spark = versions.sparkSession
-    text = F.coalesce(F.col(content), F.lit(""))
-    blobs = versions.select(blob_of(F.col(content)).alias("blob"), text.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
+    rows = versions.select(blob_of(F.col(content)).alias("blob"), F.coalesce(F.col(content), F.lit("")).alias("text"))
     seen = read_ledger(spark, ledger)
     if seen is not None:
-        blobs = blobs.join(seen.where(F.col("rule_version") == RULE_VERSION).select("blob"), "blob", "left_anti")
-    fresh = blobs.select("blob", "text").mapInArrow(_scan, f"blob string, findings {FINDINGS}")
+        # Names alone decide what is unseen; texts meet only those.
+        unseen = rows.select("blob").distinct().join(seen.where(F.col("rule_version") == RULE_VERSION).select("blob"), "blob", "left_anti")
+        rows = rows.join(unseen, "blob", "left_semi")
+    fresh = rows.select("blob", "text").mapInArrow(_scan, f"blob string, findings {FINDINGS}").groupBy("blob").agg(F.first("findings").alias("findings"))
     fresh.withColumn("rule_version", F.lit(RULE_VERSION)).write.mode("append").parquet(ledger)
 
 
@@ -84,20 +111,25 @@ def read_ledger(spark: SparkSession, ledger: str) -> DataFrame | None:
         raise
 
 
+def known_findings(spark: SparkSession, ledger: str, blob: str, findings: str) -> DataFrame:
+    """Blobs with findings under RULE_VERSION, each once: scans that ran side by side may have entered a blob twice."""
+    known = read_ledger(spark, ledger).where((F.col("rule_version") == RULE_VERSION) & (F.size("findings") > 0))
+    return known.groupBy(F.col("blob").alias(blob)).agg(F.first("findings").alias(findings))
+
+
 def scan(versions: DataFrame, ledger: str | None = None, content: str = "text") -> DataFrame:
     """The columns of ``versions`` other than the content and any ``findings``, with ``findings`` sorted by start and kind.
 
-    Null content is empty; a blob on many paths, or repeated rows, is scanned once and reported for each.
-    An empty table gives an empty one. Without ``ledger`` a new one is begun in the shared folder.
+    Null content is empty; a blob on many paths, or repeated rows, is reported for each. An empty table gives an empty
+    one. Without ``ledger`` a new one is begun in the shared folder.
     """
     spark = versions.sparkSession
     ledger = ledger or new_place(spark, "ledger")
     scan_unseen(versions, ledger, content)
-    name, blob = unused(versions, "_name"), unused(versions, "_blob")
-    known = read_ledger(spark, ledger).where(F.col("rule_version") == RULE_VERSION).select(F.col("blob").alias(blob), F.col("findings").alias("_found"))
+    name, blob, found = (unused(versions, x) for x in ("_name", "_blob", "_found"))
     paths = versions.withColumn(name, blob_of(F.col(content))).select(name, *[F.col(f"`{c}`") for c in versions.columns if c not in (content, "findings")])
-    met = paths.join(known.withColumnRenamed("_found", unused(versions, "_found")), F.col(name) == F.col(blob), "left")
-    return met.withColumn("findings", F.coalesce(unused(versions, "_found"), F.array().cast(FINDINGS))).drop(name, blob, unused(versions, "_found"))
+    met = paths.join(known_findings(spark, ledger, blob, found), F.col(name) == F.col(blob), "left")
+    return met.withColumn("findings", F.coalesce(found, F.array().cast(FINDINGS))).drop(name, blob, found)
 
 
 def _digest(spans: Column) -> Column:
@@ -115,24 +147,39 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _blanked(batches: Iterator[pa.RecordBatch], found: str, mark: str) -> Iterator[pa.RecordBatch]:
+    """Rows without the column ``found``, whose spans (sorted by start) are ``mark`` in the text; those that overlap are one."""
+    for batch in batches:
+        spans = batch.column(found)
+        rest = batch.drop_columns([found])
+        if spans.null_count < len(spans):
+            at = rest.schema.get_field_index("text")
+            texts = rest.column(at)
+            changed = {}
+            for i in np.flatnonzero(np.asarray(spans.is_valid())).tolist():
+                text, end, out = texts[i].as_py(), 0, []
+                for x in spans[i].as_py():
+                    if x["start"] >= end:
+                        out += [text[end : x["start"]], mark]
+                    end = max(end, x["end"])
+                changed[i] = "".join(out) + text[end:]
+            mask = np.zeros(len(texts), bool)
+            mask[list(changed)] = True
+            made = pc.replace_with_mask(texts, pa.array(mask), pa.array(changed.values(), texts.type))
+            rest = rest.set_column(at, rest.schema.field(at), made)
+        yield rest
+
+
 def redact(docs: DataFrame, mark: str = "[REDACTED]", ledger: str | None = None) -> DataFrame:
-    """The same rows and columns, with every finding in ``text`` replaced by ``mark``; null texts stay null."""
+    """The same rows and columns, with every finding in ``text`` replaced by ``mark``, and ``n_chars`` brought up to date.
+
+    Null texts stay null, repeated rows stay repeated, an empty table stays empty."""
     spark = docs.sparkSession
     ledger = ledger or new_place(spark, "ledger")
     scan_unseen(docs, ledger)
     name, blob, found = (unused(docs, x) for x in ("_name", "_blob", "_found"))
-    known = read_ledger(spark, ledger).where((F.col("rule_version") == RULE_VERSION) & (F.size("findings") > 0)).select(F.col("blob").alias(blob), F.col("findings").alias(found))
-    met = docs.withColumn(name, blob_of(F.col("text"))).join(known, F.col(name) == F.col(blob), "left")
-    # Findings are sorted by start: what lies between them stays; overlapping ones are one.
-    cut = F.aggregate(
-        found, F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
-        lambda a, x: F.struct(
-            F.when(x["start"] >= a["at"], F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int")), F.lit(mark))).otherwise(a["out"]).alias("out"),
-            F.greatest(a["at"], x["end"]).alias("at"),
-        ),
-        lambda a: F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.lit(2147483647))),
-    )
-    out = met.withColumn("text", F.when(F.col(found).isNull(), F.col("text")).otherwise(cut)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    met = docs.withColumn(name, blob_of(F.col("text"))).join(known_findings(spark, ledger, blob, found), F.col(name) == F.col(blob), "left")
+    out = met.select(*[F.col(f"`{c}`") for c in docs.columns], found).mapInArrow(lambda b: _blanked(b, found, mark), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 

@@ -83,6 +83,35 @@ def test_ledger_scans_only_what_is_new(spark, docs, tmp_path):
     assert secrets.read_ledger(spark, str(tmp_path / "none")) is None
 
 
+def test_ledger_that_has_a_blob_twice(spark, docs, tmp_path):
+    """Scans that run side by side may both enter a blob."""
+    ledger, texts = str(tmp_path / "ledger"), ["token=abcdef1", "plain", "token=abcdef1"]
+    secrets.scan_unseen(docs(texts), ledger)
+    spark.read.parquet(ledger).write.parquet(str(tmp_path / "copy"))
+    spark.read.parquet(str(tmp_path / "copy")).write.mode("append").parquet(ledger)
+    assert secrets.read_ledger(spark, ledger).count() == 4
+    rows = secrets.scan(docs(texts), ledger).collect()
+    assert sorted((r.doc_id, len(r.findings)) for r in rows) == [(0, 1), (1, 0), (2, 1)]
+    assert sorted(r.text for r in secrets.redact(docs(texts), ledger=ledger).collect()) == ["[REDACTED]", "[REDACTED]", "plain"]
+    assert secrets.read_ledger(spark, ledger).count() == 4
+
+
+def test_ledger_of_other_rules_counts_for_nothing(spark, docs, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    secrets.scan_unseen(docs(["token=abcdef1"]), ledger)
+    old = spark.read.parquet(ledger).withColumn("rule_version", F.lit("old")).withColumn("findings", F.array().cast(secrets.FINDINGS))
+    old.write.parquet(str(tmp_path / "old"))
+    assert secrets.scan(docs(["token=abcdef1"]), str(tmp_path / "old")).first().findings[0].kind == "assign"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["eyJ", "eyJeyJ", "abcdefgh", "a", "abcdefghijk", ".", "..", "-", "_", " ", "\n", "é"]), max_size=14).map("".join))
+def test_tokens_are_found_as_by_their_pattern(text):
+    pattern = next(r[1] for r in secrets.RULES if r[0] == "jwt")
+    found = [(a, b) for a, _, b, k in secrets.find(text) if k == "jwt"]
+    assert found == [(m.start(), m.end()) for m in re.finditer(pattern, text)]
+
+
 def test_redaction_keeps_columns_and_the_rest_of_the_text(docs):
     df = docs(SECRETS[:5], {"_name": F.lit("x"), "_found": F.lit(1), "findings": F.lit("mine")})
     out = secrets.redact(df)
