@@ -30,7 +30,8 @@ SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id lon
 
 def _encoder(name: str):
     """text -> ids as little-endian uint32. The rank table of the same vocabulary gives the same ids as the JSON
-    file some five times faster; a text that holds a special token's string goes through the JSON file."""
+    file some five times faster; a text that holds a special token's string, or a run of blanks too long for that
+    reader's stack, goes through the JSON file."""
     import public_tokenizers
     import tiktoken
     from tokenizers import Tokenizer
@@ -43,7 +44,16 @@ def _encoder(name: str):
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: plain(text) if any(s in text for s in special) else fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+
+    def ids(text: str) -> np.ndarray:
+        if any(s in text for s in special):
+            return plain(text)
+        try:
+            return fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+        except ValueError:  # a run of about a million blanks
+            return plain(text)
+
+    return ids
 
 
 def _tokenized(batches: Iterator[pa.RecordBatch], name: str, end: int) -> Iterator[pa.RecordBatch]:
