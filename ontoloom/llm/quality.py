@@ -1,8 +1,9 @@
 """Quality rules, line first: lines that fail go, then documents that lose too much text go.
 
-Per line, in this order: *navigation* (menus: many separators between short items), *punctuation*
-(symbols or shouting marks on the words, or a stub without an end mark) and *boilerplate* (known
-phrases, or words that stutter). A document is rejected if fewer than KEEP of its words stand on lines that passed.
+Per line, in this order: *navigation* (menus and breadcrumbs: many separators between short items; or mostly
+links), *punctuation* (symbols or shouting marks on the words, or a stub without an end mark) and *boilerplate*
+(known phrases, or words that stutter). A document is rejected if fewer than KEEP of its words stand on lines that
+passed. Every verdict depends on the document's own text alone.
 """
 
 import re
@@ -19,16 +20,23 @@ from ontoloom.llm import text as T
 KEEP = 0.5
 #: fewest separators of a menu, and their share of the line's words
 MENU, MENU_SHARE = 3, 0.2
+#: words that are separators if they stand alone; a bar is one anywhere
+SEPARATORS = [">", ">>", "/", "::", "·", "•", "»", "›", "→"]
+#: what links begin with, fewest of them, and the share of the line's words that they must exceed
+LINKS, LINKED, LINK_SHARE = ["http://", "https://", "www."], 2, 0.5
 #: symbols or shouting marks a word at which a line is noise
 SYMBOLS, SHOUTS = 0.3, 0.4
 #: lines of fewer words must end in an end mark
 STUB = 3
 #: share of a line's words that equal the word before
 STUTTER = 0.3
-#: fixed phrases of boilerplate, lower case
+#: fixed phrases of boilerplate, lower case, in English, German, French and Spanish
 PHRASES = [
     "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "use of cookies",
     "licensed under", "subject to the license", "javascript", "lorem ipsum", "sign up for our newsletter", "powered by",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "verwendung von cookies",
+    "tous droits réservés", "conditions d'utilisation", "politique de confidentialité",
+    "todos los derechos reservados", "condiciones de uso", "política de privacidad",
 ]
 #: 5 words a window, as the contract has them
 WINDOW = 5
@@ -41,6 +49,21 @@ def _table(chars: bytes) -> np.ndarray:
 
 
 _SYMBOLS, _SHOUTS, _MENU, _ENDS = _table(b"#*$%&|<>"), _table(b"!?"), _table(b"|"), _table(b".!?\"')]:;")
+_PHRASES = re.compile(b"|".join(re.escape(p.encode()) for p in PHRASES))
+
+
+def _marked(words: T.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word: whether it is a separator that stands alone, and whether it begins like a link."""
+    size = words.end - words.start
+    alone, link = np.zeros(len(size), bool), np.zeros(len(size), bool)
+    low = T.lower(words.data)
+    for said, flags, whole in [*((x, alone, True) for x in SEPARATORS), *((x, link, False) for x in LINKS)]:
+        raw = said.encode()
+        left = np.flatnonzero(size == len(raw) if whole else size >= len(raw))
+        for i, byte in enumerate(raw):
+            left = left[low[words.start[left] + i] == byte]
+        flags[left] = True
+    return alone, link
 
 
 def measure(at: np.ndarray, data: np.ndarray) -> dict[str, np.ndarray]:
@@ -89,14 +112,22 @@ def measure(at: np.ndarray, data: np.ndarray) -> dict[str, np.ndarray]:
     menu = of_line(totals(_MENU))
     last = words.end[np.maximum(word_stop - 1, 0)] - 1 if n_words else np.zeros(len(line_from), np.int64)
     ends = _ENDS[data[last]] | (data[last] >= 0x80) if n_words else np.zeros(len(line_from), bool)
+    alone, link = _marked(words)
+    of_words = lambda flags: (total := np.concatenate([[0], np.cumsum(flags)]))[word_stop] - total[word_edge]
+    menu = menu + of_words(alone)
     bad = (menu >= MENU) & (menu >= MENU_SHARE * line_words)
+    linked = of_words(link)
+    bad |= (linked >= LINKED) & (linked > LINK_SHARE * line_words)
     bad |= of_line(symbols) > SYMBOLS * np.maximum(line_words, 3)
     bad |= of_line(totals(_SHOUTS)) > SHOUTS * np.maximum(line_words, 3)
     bad |= (line_words < STUB) & ~ends
     again = np.concatenate([[0], np.cumsum(np.concatenate([[False], hashes[1:] == hashes[:-1]]))]) if n_words else np.zeros(1, np.int64)
     bad |= again[word_stop] - again[np.minimum(word_edge + 1, word_stop)] > STUTTER * np.maximum(line_words, 6)
-    found = [m.start() for m in re.finditer(b"|".join(re.escape(p.encode()) for p in PHRASES), T.lower(data).tobytes())]
-    bad[np.searchsorted(line_from, np.array(found, np.int64), "right") - 1] = True
+    # Texts are set apart by line feeds, which no phrase has, so that none is found across two of them.
+    apart = np.insert(T.lower(data), at[1:-1], 0x0A).tobytes()
+    found = np.array([m.start() for m in _PHRASES.finditer(apart)], np.int64)
+    found -= np.searchsorted(at[1:-1] + np.arange(max(0, n_texts - 1)), found)
+    bad[np.searchsorted(line_from, found, "right") - 1] = True
     passed = full & ~bad
     kept = T.per_text(np.where(passed, line_words, 0), lines_first)
     count = words.count.astype(np.int64)
@@ -116,7 +147,10 @@ def _rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def rate(docs: DataFrame) -> DataFrame:
-    """One row per document: the counts, the base verdict and the line-first verdict. Null text: no words, base_failed."""
+    """One row per row of ``docs``: the counts, the base verdict and the line-first verdict.
+
+    A null or empty text has no words and is base_failed; a null doc_id stays null; repeated rows are judged each, alike;
+    other columns do not matter; an empty table gives an empty one."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_rate, SCHEMA)
 
 
@@ -139,7 +173,10 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs``: rejected documents gone, failed lines gone from the others, ``n_chars`` brought up to date."""
+    """The columns of ``docs``: rejected documents gone, failed lines gone from the others, ``n_chars`` brought up to date.
+
+    Null and empty texts are rejected; ids do not matter, so rows that share one or have none, and repeated rows, are
+    judged each by its own text; an empty table stays empty."""
     out = docs.mapInArrow(_cleaned, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
@@ -148,7 +185,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-_HAS = " or ".join(f"contains(low, '{p}')" for p in PHRASES)
+_QUOTED = lambda x: "'" + x.replace("'", "''") + "'"
+_HAS = " or ".join(f"contains(low, {_QUOTED(p)})" for p in PHRASES)
+_ALONE = ", ".join(map(_QUOTED, SEPARATORS))
+_LINK = " or ".join(f"starts_with(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_QUOTED(p)})" for p in LINKS)
 ORACLE = rf"""
 with d as (select row_number() over () as rn, doc_id, coalesce(text, '') as t from documents),
 w as (select rn, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w from d),
@@ -156,9 +196,9 @@ win as (select rn, i, array_to_string(w[i : i + 4], ' ') as s from (select rn, w
 twice as (select rn, s from win group by rn, s having count(*) > 1),
 rep as (select rn, count(distinct p) as n from (select rn, unnest(range(i, i + 5)) as p from win join twice using (rn, s)) group by rn),
 ln as (select rn, l, regexp_extract_all(l, '[^\x20\x09-\x0D]+') as lw, translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low from (select rn, unnest(string_split(t, chr(10))) as l from d)),
-f as (select rn, l, low, lw, len(lw) as n, length(l) - length(replace(l, '|', '')) as menu, len(regexp_extract_all(l, '[#*$%&|<>]')) as sym, len(regexp_extract_all(l, '[!?]')) as shout,
+f as (select rn, l, low, lw, len(lw) as n, length(l) - length(replace(l, '|', '')) + len(list_filter(lw, lambda x: x in ({_ALONE}))) as menu, len(list_filter(lw, lambda x: {_LINK})) as linked, len(regexp_extract_all(l, '[#*$%&|<>]')) as sym, len(regexp_extract_all(l, '[!?]')) as shout,
   regexp_matches(lw[-1], '[.!?"'')\]:;]$|[^\x00-\x7F]$') as ends, len(list_filter(range(2, len(lw) + 1), lambda i: lw[i] = lw[i - 1])) as again from ln where len(lw) > 0),
-v as (select *, (menu >= {MENU} and menu >= {MENU_SHARE}::double * n) or sym > {SYMBOLS}::double * greatest(n, 3) or shout > {SHOUTS}::double * greatest(n, 3) or (n < {STUB} and not ends)
+v as (select *, (menu >= {MENU} and menu >= {MENU_SHARE}::double * n) or (linked >= {LINKED} and linked > {LINK_SHARE}::double * n) or sym > {SYMBOLS}::double * greatest(n, 3) or shout > {SHOUTS}::double * greatest(n, 3) or (n < {STUB} and not ends)
   or again > {STUTTER}::double * greatest(n, 6) or {_HAS} as bad from f),
 k as (select rn, count(*) - count(distinct l) as dup, coalesce(sum(n) filter (not bad), 0) as kept from v group by rn),
 o as (select doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint as n_symbols,
