@@ -9,8 +9,9 @@ log posterior(l) = log prior(l | host) + text score(l) + log P(declared | l), wh
 * the prior of a host is smoothed towards that of its address suffix (last label), and that towards the
   prior of all pages. All counts come from grouped sums over every page, less the page's own vote for its host.
 
-Trigram tables are fitted on a sample of labelled texts of about MAX_ROWS rows, drawn by a hash of the
-row's id; they have as many entries as FEATURES times the languages, whatever the corpus.
+Trigram tables are fitted on a sample of labelled texts of about MAX_ROWS rows, drawn language by language by
+a hash of the row's id, so that rare languages are in it; they have as many entries as FEATURES times the
+languages, whatever the corpus.
 """
 
 import re
@@ -28,8 +29,12 @@ from ontoloom.shared import written
 MAX_ROWS, FEATURES, TRIGRAMS = 4000, 1 << 15, 40
 #: weights of the wider level in a smoothed prior, and of the overall rate of declarations
 HOST_WEIGHT, SUFFIX_WEIGHT, DECLARED_WEIGHT = 8.0, 20.0, 5.0
-_MARKUP = re.compile(r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>|&[#\w]+;")
-_DECLARED = re.compile(r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})(?![a-z])""")
+_OPENERS = re.compile(r"(?i)<script\b|<style\b|<!--|<|&[#\w]+;")
+#: what ends each opener that holds more than a tag
+_CLOSERS = {"<script": re.compile("(?i)</script>"), "<style": re.compile("(?i)</style>"), "<!--": re.compile("-->")}
+_TAG_END = re.compile(">")
+_HTML = re.compile(r"(?i)<html\b")
+_LANG = re.compile(r"""(?i)\blang\s*=\s*["']?([a-z]{2,3})(?![a-z])""")
 _LETTERS = np.array([b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256)], np.uint8)
 
 
@@ -64,33 +69,66 @@ class Model:
 
 
 def fit(labelled: DataFrame, key: str = "doc_id", max_rows: int = MAX_ROWS) -> Model:
-    """Trigram tables from columns text and lang; about ``max_rows`` rows, chosen by a hash of ``key``, are read."""
+    """Trigram tables from columns text and lang; about ``max_rows`` rows, chosen by a hash of ``key``, are read.
+
+    Every language gets the same share of them, or all that it has. Rows without text or language do not count, repeated
+    rows and a null key are drawn like others; no labelled rows give a model without languages.
+    """
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    share = min(1.0, max_rows / max(1, known.count()))
-    sample = known.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(share * (1 << 20))).select("lang", "text")
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
+    each, langs = max(1, max_rows // max(1, len(sizes))), sorted(sizes)
+    # Of each language the rows whose hash is below its share; a language of few has all. Rows without a key differ by text.
+    shares = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(min(1 << 20, -(-(each << 20) // sizes[lang]))))])
+    place = F.pmod(F.xxhash64(key, F.when(F.col(key).isNull(), F.col("text"))), F.lit(1 << 20))
+    drawn = place < F.element_at(shares, F.col("lang")) if langs else F.lit(False)
+    numbers = {lang: i for i, lang in enumerate(langs)}
 
     def count(batches):
         for batch in batches:
             for part in T.chunks(batch, "text"):
-                numbers, first = features(*T.buffers(part.column("text")))
-                langs = part.column("lang").to_pylist()
-                names = sorted(set(langs))
-                code = np.repeat([names.index(x) for x in langs], np.diff(first)).astype(np.int64) * FEATURES + numbers
-                seen, n = np.unique(code, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in seen // FEATURES], pa.string()), pa.array(seen % FEATURES), pa.array(n.astype(np.int64))], ["lang", "feature", "n"])
-
-    rows = sample.mapInArrow(count, "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow()
-    langs = sorted(set(rows.column("lang").to_pylist()))
+                found, first = features(*T.buffers(part.column("text")))
+                owner = np.array([numbers[x] for x in part.column("lang").to_pylist()], np.int64)
+                seen, n = np.unique(np.repeat(owner, np.diff(first)) * FEATURES + found, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(n.astype(np.int64))], ["cell", "n"])
+
     table = np.full((len(langs), FEATURES), 0.5)
-    for lang, feature, n in zip(*(rows.column(c).to_pylist() for c in ("lang", "feature", "n")), strict=True):
-        table[langs.index(lang), feature] += n
+    rows = known.where(drawn).select("lang", "text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    table.reshape(-1)[np.asarray(rows.column("cell"))] += np.asarray(rows.column("n"))
     return Model(langs, np.log(table / table.sum(axis=1, keepdims=True)) if langs else table)
 
 
 def read_page(html: str) -> tuple[str, str | None]:
-    """(text without markup, declared language or None) of a page."""
-    found = _DECLARED.search(html)
-    return _MARKUP.sub(" ", html), found[1].lower() if found else None
+    """(text without markup, declared language or None) of a page, in one pass however much is left open.
+
+    Scripts, styles, comments, tags and entities are blanks; one that is never closed is a tag, a tag without an end is text.
+    """
+    said, kept, at, never = [], 0, 0, set()
+    while m := _OPENERS.search(html, at):
+        end = m.end() if m[0][0] == "&" else None
+        for kind in (m[0].lower(), "<") if end is None else ():
+            close = None if kind in never else _CLOSERS.get(kind, _TAG_END).search(html, m.end())
+            if close:
+                end = close.end()
+                break
+            # What does not end here ends nowhere after.
+            never.add(kind)
+        at = m.start() + 1 if end is None else end
+        if end is not None:
+            said += [html[kept : m.start()], " "]
+            kept = end
+    return "".join(said) + html[kept:], _declared(html)
+
+
+def _declared(html: str) -> str | None:
+    """The language that an <html> tag declares; each stretch up to the tag's end is looked at once."""
+    at = 0
+    while m := _HTML.search(html, at):
+        end = html.find(">", m.end())
+        at = len(html) if end < 0 else end
+        found = _LANG.search(html, m.end(), at)
+        if found:
+            return found[1].lower()
+    return None
 
 
 def suffix_of(host: Column) -> Column:
