@@ -4,7 +4,8 @@ A window (10 words of an item, or a shorter item) can only occur where each of i
 its rarest shingle is a prefix of length one that suffices. Pass one counts the items' shingles over
 all documents; each window then picks its rarest one. Pass two emits the documents' places of picked
 shingles, joins them on the shingle, applies the positional and length bounds, and verifies the whole
-window word by word against the words around the place.
+window word by word against the words around the place. A document's places of one shingle with the same
+words around them are one row, so neither a word that is an item nor a line that repeats makes a row a place.
 
 Executors sift shingles through a Bloom filter of at most 2**MAX_BITS bits, which is all that is
 broadcast however many items there are; past its capacity it lets more rows through to the join, and
@@ -132,32 +133,39 @@ def _counted(batches: Iterator[pa.RecordBatch], sieve) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
 
 
-_PLACES = pa.list_(pa.struct([("key", pa.int64()), ("place", pa.int32()), ("before", pa.int32()), ("words", pa.string())]))
+_PLACES = pa.list_(pa.struct([("key", pa.int64()), ("whole", pa.bool_()), ("before", pa.int32()), ("words", pa.string()), ("runs", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))]))
 
 
-def _placed(batches: Iterator[pa.RecordBatch], sieve, window: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, uid (a hash of the words), n_words and the places of the filter's keys with the words around them."""
-    bloom = Bloom(*sieve.value)
+def _placed(batches: Iterator[pa.RecordBatch], sieves, window: int) -> Iterator[pa.RecordBatch]:
+    """doc_id, uid (a hash of the words), n_words and the places of the filters' keys with the words around them.
+
+    ``sieves``: a filter of keys within windows, and one of keys that are whole windows, which need no words around.
+    ``runs``: places a to b - 1 of a key, of those that have the same words around."""
+    blooms = [Bloom(*x.value) for x in sieves]
     for batch in batches:
         for part in T.chunks(batch, "text"):
             words = _words(*T.buffers(part.column("text")))
             hashes, low = words.hashes(), words.data.tobytes()
-            at, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-            for size in bloom.sizes:
-                begin, key = _shingles(words, hashes, size)
-                k = bloom.has(key)
-                at.append(begin[k])
-                keys.append(key[k])
-            at, keys = np.concatenate(at), np.concatenate(keys)
-            rows: list = [[] for _ in range(part.num_rows)]
-            owner = np.searchsorted(words.first, at, "right") - 1
-            begins, ends, first = words.start, words.end, words.first.tolist()
-            for i, p, key in zip(owner.tolist(), at.tolist(), keys.view(np.int64).tolist(), strict=True):
-                a, b = max(first[i], p - window + 1), min(first[i + 1], p + window)
-                said = " ".join(low[s:e].decode() for s, e in zip(begins[a:b].tolist(), ends[a:b].tolist(), strict=True))
-                rows[i].append({"key": key, "place": p - first[i], "before": p - a, "words": said})
+            begins, ends, first = words.start, words.end, words.first
+            rows: list[dict] = [{} for _ in range(part.num_rows)]
+            for whole, bloom in enumerate(blooms):
+                for size in bloom.sizes:
+                    begin, key = _shingles(words, hashes, size)
+                    k = bloom.has(key)
+                    at, key = begin[k], key[k].view(np.int64)
+                    owner = np.searchsorted(first, at, "right") - 1
+                    a = at if whole else np.maximum(first[owner], at - window + 1)
+                    b = at + size if whole else np.minimum(first[owner + 1], at + window)
+                    for i, p, key_, a_, b_, before in zip(owner.tolist(), (at - first[owner]).tolist(), key.tolist(), a.tolist(), b.tolist(), (at - a).tolist(), strict=True):
+                        said = " ".join([low[x:y].decode() for x, y in zip(begins[a_:b_].tolist(), ends[a_:b_].tolist(), strict=True)])
+                        runs = rows[i].setdefault((key_, whole, before, said), [])
+                        if runs and runs[-1]["b"] == p:
+                            runs[-1]["b"] = p + 1
+                        else:
+                            runs.append({"a": p, "b": p + 1})
+            places = [[{"key": k, "whole": bool(w), "before": n, "words": said, "runs": runs} for (k, w, n, said), runs in row.items()] for row in rows]
             uid = _uids(words, hashes)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(uid.view(np.int64)), pa.array(words.count.astype(np.int64)), pa.array(rows, _PLACES)], ["doc_id", "uid", "n_words", "places"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(uid.view(np.int64)), pa.array(words.count.astype(np.int64)), pa.array(places, _PLACES)], ["doc_id", "uid", "n_words", "places"])
 
 
 def prefixes(items: DataFrame, counts: DataFrame) -> DataFrame:
@@ -197,15 +205,18 @@ def _judged(docs: DataFrame, items: DataFrame, window: int, shingle: int) -> Dat
     sieve = _sent(_bloom(told.select("key").distinct(), sizes), spark)
     counts = texts.mapInArrow(lambda b: _counted(b, sieve), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     picked = written(prefixes(told, counts), "prefixes")
-    fine = _sent(_bloom(picked.select("key").distinct(), sizes), spark)
-    kind = "doc_id long, uid long, n_words long, places array<struct<key:long,place:int,before:int,words:string>>"
+    whole = F.col("span") <= shingle
+    fine = [_sent(_bloom(picked.where(test).select("key").distinct(), sizes), spark) for test in (~whole, whole)]
+    kind = "doc_id long, uid long, n_words long, places array<struct<key:long,whole:boolean,before:int,words:string,runs:array<struct<a:int,b:int>>>>"
     placed = written(texts.mapInArrow(lambda b: _placed(b, fine, window), kind), "places")
-    spread = placed.select("doc_id", "uid", "n_words", F.explode("places").alias("p")).select("doc_id", "uid", "n_words", "p.*")
-    start = F.col("place") - F.col("offset")
-    bounds = (F.col("before") >= F.col("offset")) & (start + F.col("span") <= F.col("n_words"))
-    exact = F.array_join(F.slice(F.split("words", " "), F.col("before") - F.col("offset") + 1, F.col("span")), " ") == F.col("window_words")
-    met = spread.join(picked.withColumnRenamed("key", "_key"), (F.col("key") == F.col("_key")) & bounds & exact)
-    hits = met.groupBy(F.col("doc_id").alias("_doc"), F.col("uid").alias("_uid")).agg(F.collect_set(F.struct(start.alias("a"), (start + F.col("span")).alias("b"))).alias("_runs"), F.collect_set("item_id").alias("_items"))
+    spread = placed.select("doc_id", "uid", F.explode("places").alias("p")).select("doc_id", "uid", "p.*").withColumn("words", F.split("words", " "))
+    told = picked.withColumnRenamed("key", "_key").withColumn("_whole", whole)
+    # The window begins offset words before the key and ends span words on: all of it must lie in the words around.
+    bounds = (F.col("before") >= F.col("offset")) & (F.size("words") - F.col("before") + F.col("offset") >= F.col("span"))
+    exact = F.array_join(F.slice("words", F.col("before") - F.col("offset") + 1, F.col("span")), " ") == F.col("window_words")
+    met = spread.join(told, (F.col("key") == F.col("_key")) & (F.col("whole") == F.col("_whole")) & bounds & exact)
+    covered = F.transform("runs", lambda r: F.struct((r["a"] - F.col("offset")).alias("a"), (r["b"] - 1 - F.col("offset") + F.col("span")).alias("b")))
+    hits = met.groupBy(F.col("doc_id").alias("_doc"), F.col("uid").alias("_uid")).agg(F.flatten(F.collect_set(covered)).alias("_runs"), F.collect_set("item_id").alias("_items"))
     union = F.aggregate(
         F.array_sort("_runs"), F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")),
         lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(x["a"], s["to"]))).alias("n"), F.greatest(s["to"], x["b"]).alias("to")),
