@@ -1,11 +1,14 @@
 import hashlib
 import io
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ontoloom.llm import chat, langid, packing, simhash, urlfilter, warc
@@ -263,28 +266,103 @@ def test_languages_of_held_out_texts(spark):
     assert got.agg(F.avg((F.col("lang") == F.col("true")).cast("double"))).first()[0] >= 0.95
 
 
-def test_fusion_equals_brute_force(spark):
-    rng, langs = random.Random(2), ["de", "en", "fr"]
-    rows = [(i, rng.choice(["a.fr", "b.de", "c.com", "", "x.museum"]), rng.choice([*langs, None]), rng.choice([*langs, "xx", None]), [rng.uniform(-9, 0) for _ in langs]) for i in range(80)]
-    df = spark.createDataFrame(rows, "page_id long, host string, text_lang string, declared string, scores array<double>")
-    got = {r.page_id: r for r in langid.fused(df, langs).collect()}
-    suffix = lambda h: h.rsplit(".", 1)[1] if "." in h and len(h.rsplit(".", 1)[1]) in (2, 3) else "other"
-    n = lambda test: [sum(test(r) and r[2] == x for r in rows) for x in langs]
-    every = n(lambda r: True)
-    wide = [(x + 1) / (sum(every) + 3) for x in every]
-    for i, host, said, declared, scores in rows:
-        s, h = n(lambda r, host=host: suffix(r[1]) == suffix(host)), n(lambda r, host=host: r[1] == host)
+def brute_fused(rows, langs):
+    """(language, confidence) for rows of host, language by text, declared language and scores."""
+    label = lambda h: h.split(":")[0].rsplit(".", 1)[-1]
+    suffix = lambda h: label(h) if re.fullmatch("[a-z]{2,3}", label(h)) else "other"
+    n = lambda test: [sum(test(r) and r[1] == x for r in rows) for x in langs]
+    every, k = n(lambda r: True), len(langs)
+    wide = [(x + 1) / (sum(every) + k) for x in every]
+    out = []
+    for host, said, declared, scores in rows:
+        s, h = n(lambda r, host=host: suffix(r[0]) == suffix(host)), n(lambda r, host=host: r[0] == host)
         mid = [(x + langid.SUFFIX_WEIGHT * w) / (sum(s) + langid.SUFFIX_WEIGHT) for x, w in zip(s, wide, strict=True)]
         h = [x - (said == lang) for x, lang in zip(h, langs, strict=True)]
         prior = [(x + langid.HOST_WEIGHT * m) / (sum(h) + langid.HOST_WEIGHT) for x, m in zip(h, mid, strict=True)]
-        told = [1.0] * 3
-        d = n(lambda r, declared=declared: r[3] == declared)
+        told = [1.0] * k
+        d = n(lambda r, declared=declared: r[2] == declared)
         if declared is not None and sum(d):
-            of = n(lambda r: r[3] is not None)
+            of = n(lambda r: r[2] is not None)
             told = [(a + langid.DECLARED_WEIGHT * (sum(d) + 0.5) / (sum(of) + 1)) / (b + langid.DECLARED_WEIGHT) for a, b in zip(d, of, strict=True)]
-        log = [float(np.log(p) + x + np.log(t)) for p, x, t in zip(prior, scores, told, strict=True)]
-        share = np.exp(np.array(log) - max(log))
-        assert got[i].lang == langs[int(np.argmax(log))] and got[i].confidence == pytest.approx(1 / share.sum(), abs=2e-6)
+        log = np.array([float(np.log(p) + x + np.log(t)) for p, x, t in zip(prior, scores, told, strict=True)])
+        out.append((langs[int(np.argmax(log))], float(1 / np.exp(log - log.max()).sum())))
+    return out
+
+
+def test_fusion_equals_brute_force(spark):
+    rng, langs = random.Random(2), ["de", "en", "fr"]
+    rows = [(i, rng.choice(["a.fr", "b.de", "c.com", "", "x.museum", "d.de:80"]), rng.choice([*langs, None]), rng.choice([*langs, "xx", None]), [rng.uniform(-9, 0) for _ in langs]) for i in range(80)]
+    df = spark.createDataFrame(rows, "page_id long, host string, text_lang string, declared string, scores array<double>")
+    got = {r.page_id: r for r in langid.fused(df, langs).collect()}
+    for row, (lang, share) in zip(rows, brute_fused([r[1:] for r in rows], langs), strict=True):
+        assert got[row[0]].lang == lang and got[row[0]].confidence == pytest.approx(share, abs=2e-6)
+
+
+MARKUP = re.compile(r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>|&[#\w]+;")
+DECLARED = re.compile(r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})(?![a-z])""")
+MARKS = ["<script", "<script ", "</script>", "<style>", "</STYLE>", "<!--", "-->", "<", "</p>", ">", "&amp;", "&", "x", "<html", " lang=", '"de"', "fr", "\n", " ", "lang", "=", "en-gb", "é"]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(MARKS), max_size=14).map("".join))
+def test_pages_are_read_as_by_patterns(html):
+    found = DECLARED.search(html)
+    assert langid.read_page(html) == (MARKUP.sub(" ", html), found[1].lower() if found else None)
+
+
+def brute_trigrams(text):
+    """Numbers of the trigrams of a text: bytes other than a-z and those beyond ASCII are blanks, and two blanks are none."""
+    low = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+    low = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in low)
+    codes = [(a << 16 | b << 8 | c) for a, b, c in zip(low, low[1:], low[2:], strict=False) if not (a == b == 32 or b == c == 32)]
+    return [(code * 0x9E3779B97F4A7C15 % (1 << 64)) >> 49 for code in codes]
+
+
+def test_whole_language_query_equals_brute_force(spark, tmp_path):
+    """Fit, reading, trigram scores, priors and fusion in plain Python; few enough documents for all to be in the sample."""
+    for name in ("documents", "pages"):
+        rows = spark.read.parquet(f"{SF}/{name}.parquet")
+        if name == "pages":
+            odd = [(10**6, None, None), (10**6 + 1, "http://a.fr/", ""), (10**6 + 2, "http://a.fr/x", "<html lang='fr'><p>Le chat est dans la maison avec les autres"), (10**6 + 2, "http://a.fr/x", "<p>&amp;</p>"), (None, "no scheme", "the cat and the dog in the house")]
+            rows = rows.unionByName(spark.createDataFrame(odd, "page_id long, url string, html string"))
+        rows.write.parquet(str(tmp_path / f"{name}.parquet"))
+    docs, pages = (spark.read.parquet(str(tmp_path / f"{n}.parquet")).collect() for n in ("documents", "pages"))
+    langs = sorted({r.lang for r in docs})
+    table = {x: np.full(1 << 15, 0.5) for x in langs}
+    for r in docs:
+        for t in brute_trigrams(r.text or ""):
+            table[r.lang][t] += 1
+    table = {x: np.log(v / v.sum()) for x, v in table.items()}
+    read = []
+    for r in pages:
+        html = r.html or ""
+        found, t = DECLARED.search(html), brute_trigrams(MARKUP.sub(" ", html))
+        scores = [table[x][t].sum() * min(len(t), 40) / max(1, len(t)) for x in langs]
+        host = brute_judge(r.url, [])[0]
+        read.append((host, langs[int(np.argmax(scores))] if t else None, found[1].lower() if found else None, scores))
+    want = sorted(((r.page_id, x[1], x[2], lang, round(p, 4)) for r, x, (lang, p) in zip(pages, read, brute_fused(read, langs), strict=True)), key=repr)
+    got = sorted(((r.page_id, r.text_lang, r.declared, r.lang, round(r.confidence, 4)) for r in langid.query(spark, str(tmp_path)).collect()), key=repr)
+    assert [x[:4] for x in got] == [x[:4] for x in want] and [x[4] for x in got] == pytest.approx([x[4] for x in want], abs=2e-4)
+
+
+def test_languages_of_pages_whose_address_names_them(spark):
+    """The path's first part is the page's language; nothing that the operator reads. Declarations and hosts only help."""
+    sf = "/root/testdata/sf0.01"
+    pages = spark.read.parquet(f"{sf}/pages.parquet").withColumn("true", F.regexp_extract("url", "://[^/]+/([a-z]{2})/", 1)).where(F.col("true") != "")
+    model = langid.fit(spark.read.parquet(f"{sf}/documents.parquet"))
+    bare = pages.select("page_id", F.lit(None).cast("string").alias("url"), F.regexp_replace("html", "(?i)<html[^>]*>", "<html>").alias("html"))
+    share = lambda got: got.join(pages.select("page_id", "true"), "page_id").agg(F.avg((F.col("lang") == F.col("true")).cast("double"))).first()[0]
+    alone, whole = share(langid.identify(bare, model)), share(langid.identify(pages.select("page_id", "url", "html"), model))
+    assert pages.count() > 200 and whole >= 0.9 and whole >= alone - 0.01
+
+
+def test_fit_draws_every_language(spark):
+    """One language of a thousand rows among a million would not be in a plain sample of a few."""
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4000 == 7, "nl").otherwise("en").alias("lang"), F.when(F.col("id") % 4000 == 7, "het is een heel mooi huis").otherwise("it is a very nice house").alias("text"))
+    model = langid.fit(rows, max_rows=40)
+    assert model.langs == ["en", "nl"]
+    got = langid.identify(spark.createDataFrame([(1, None, "een mooi huis"), (2, None, "a nice house")], "page_id long, url string, html string"), model)
+    assert {r.page_id: r.text_lang for r in got.collect()} == {1: "nl", 2: "en"}
 
 
 def test_pages_with_nothing_to_go_by(spark):

@@ -275,6 +275,25 @@ def test_quality_verdicts(docs):
     assert quality.clean(docs(TEXTS).limit(0)).count() == 0
 
 
+def test_lines_of_each_kind(docs):
+    """Lines that must fail, each on its own between two that pass."""
+    bad = [
+        "Home | News | About | Contact", "Start > Shoes > Boots > Winter", "Accueil » Produits » Hiver » Bottes", "Inicio · Noticias · Ayuda · Contacto", "See https://a.example/x www.b.example/y", "word%%% other$$$ ###", "NOW!! BUY!! HERE!!",
+        "next page", "Alle Rechte vorbehalten, auch die der Übersetzung.", "Tous droits réservés par les auteurs.", "so so so so so so.", "Sign up for our newsletter today, please.",
+    ]
+    good = ["Either / or, as they say; both is fine.", "One link, https://a.example/x, in a sentence that goes on.", "He said > and meant it, or so it seems.", "Privacy and a policy are two things."]
+    texts = [f"{PROSE}\n{x}\nNothing more was said about that by anyone who had been there at the time, as far as is known." for x in bad + good]
+    out = {r.doc_id: r.text.split("\n") for r in quality.clean(docs(texts)).collect()}
+    assert [len(out[i]) for i in range(len(texts))] == [2] * len(bad) + [3] * len(good)
+
+
+def test_quality_of_neighbouring_rows(docs):
+    """A row's verdict is its own: no phrase reaches over the end of a text, not even after empty ones."""
+    texts = ["We take care of all that you tell us in our privacy", "", " policy and more words that stand on the same line, so it goes.", None, "the end of it all is that lorem", " ipsum is what remains when words are gone for good."]
+    want = [(r.n_kept_words, r.kept) for t in texts for r in quality.rate(docs([t])).collect()]
+    assert [(r.n_kept_words, r.kept) for r in quality.rate(docs(texts).coalesce(1)).orderBy("doc_id").collect()] == want
+
+
 def test_quality_agrees_with_labels(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality is not null").select("doc_id", "quality").distinct()
     rows = quality.rate(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).join(labels, "doc_id").collect()
