@@ -1,8 +1,8 @@
 """WARC archives: a Spark data source that writes and sequentially reads one gzip member per record.
 
 Writing, each task makes one archive under a name of its own; ``commit`` lists the archives of the
-tasks that won in a manifest, so lost executors and repeated tasks leave nothing that a reader sees.
-Reading, each archive is one partition, read in pieces through ``zlib.decompressobj``: a member ends
+tasks that won in a manifest of that write, so lost executors and repeated tasks leave nothing that a reader
+sees, and a second write to a folder adds to the first. Reading, each archive is one partition, read in pieces through ``zlib.decompressobj``: a member ends
 where zlib says so, its record's block is as long as Content-Length says, and block and payload are
 held against their digests. Memory is bounded by one record.
 """
@@ -10,7 +10,6 @@ held against their digests. Memory is bounded by one record.
 import base64
 import hashlib
 import json
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -22,9 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from ontoloom.shared import new_place
+from ontoloom.shared import new_place, written
 
-MANIFEST = "_archives.json"
+MANIFEST = "_archives-"
 #: smaller payloads are always written whole
 REVISIT_FROM = 1000
 #: bytes read from an archive at once
@@ -40,19 +39,21 @@ def _sha(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def _urn(page_id: int | None) -> str:
-    return f"<urn:page:{'none' if page_id is None else page_id}>"
+def _uri(url: str) -> str:
+    return quote(url, safe="!#$&'()*+,/:;=?@[]-._~")
 
 
-def member(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, level: int = 6) -> bytes:
-    """One record as one gzip member. A revisit has the HTTP head alone for its block."""
+def member(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, level: int = 6, refers_url: str | None = None) -> bytes:
+    """One record as one gzip member, under an id that no other has. A revisit has the HTTP head alone for its block, and
+    names the response by its page and address."""
     head = HTTP % len(payload)
     block = head if refers_to is not None else head + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_urn(page_id)}", "WARC-Date: 1970-01-01T00:00:00Z"]
-    if url is not None:
-        lines.append("WARC-Target-URI: " + quote(url, safe="!#$&'()*+,/:;=?@[]-._~"))
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {uuid.uuid4().urn.join('<>')}", "WARC-Date: 1970-01-01T00:00:00Z"]
+    for name, value in (("WARC-Page-ID", page_id), ("WARC-Target-URI", None if url is None else _uri(url)), ("WARC-Refers-To-Page-ID", refers_to)):
+        if value is not None:
+            lines.append(f"{name}: {value}")
     if refers_to is not None:
-        lines += [f"WARC-Refers-To: {_urn(refers_to)}", f"WARC-Profile: {PROFILE}"]
+        lines += [f"WARC-Profile: {PROFILE}", *([f"WARC-Refers-To-Target-URI: {_uri(refers_url)}"] if refers_url is not None else [])]
     lines += [f"WARC-Payload-Digest: {_sha(payload)}", f"WARC-Payload-Length: {len(payload)}", f"WARC-Block-Digest: {_sha(block)}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     packer = zlib.compressobj(level, zlib.DEFLATED, 31)
     return packer.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
@@ -94,9 +95,19 @@ def parse(record: bytes) -> dict:
     return fields
 
 
-def _number(urn: str | None) -> int | None:
-    found = re.fullmatch(r"<urn:page:(-?\d+)>", urn or "")
-    return int(found[1]) if found else None
+def _number(said: str | None) -> int | None:
+    return None if said is None else int(said)
+
+
+def _manifests(path: str) -> tuple:
+    """The file system, the folder in it, and the manifests there."""
+    where, folder = fs.FileSystem.from_uri(path)
+    return where, folder, sorted(x.path for x in where.get_file_info(fs.FileSelector(folder)) if x.base_name.startswith(MANIFEST))
+
+
+def _listed(where, manifest: str) -> list[str]:
+    with where.open_input_stream(manifest, compression=None) as stream:
+        return json.loads(stream.read())
 
 
 class _Message(WriterCommitMessage):
@@ -105,8 +116,8 @@ class _Message(WriterCommitMessage):
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, level: int):
-        self.path, self.level = path, level
+    def __init__(self, path: str, level: int, overwrite: bool = False):
+        self.path, self.level, self.overwrite = path, level, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Message:
         where, folder = fs.FileSystem.from_uri(self.path)
@@ -114,17 +125,26 @@ class _Writer(DataSourceArrowWriter):
         name, n = f"part-{uuid.uuid4().hex}.warc.gz", 0
         with where.open_output_stream(f"{folder}/{name}", compression=None) as out:
             for batch in iterator:
-                for page_id, url, html, refers_to in zip(*(batch.column(c) for c in ("page_id", "url", "html", "refers_to")), strict=True):
+                for page_id, url, html, refers_to, refers_url in zip(*(batch.column(c) for c in ("page_id", "url", "html", "refers_to", "refers_url")), strict=True):
                     text = html.as_py()
-                    out.write(member(page_id.as_py(), url.as_py(), (text or "").encode(), refers_to.as_py(), self.level))
+                    out.write(member(page_id.as_py(), url.as_py(), (text or "").encode(), refers_to.as_py(), self.level, refers_url.as_py()))
                     n += 1
         return _Message(name, n)
 
     def commit(self, messages: list) -> None:
         where, folder = fs.FileSystem.from_uri(self.path)
         where.create_dir(folder, recursive=True)
-        with where.open_output_stream(f"{folder}/{MANIFEST}", compression=None) as out:
+        before = _manifests(self.path)[2] if self.overwrite else []
+        with where.open_output_stream(f"{folder}/{MANIFEST}{uuid.uuid4().hex}.json", compression=None) as out:
             out.write(json.dumps([m.name for m in messages if m is not None and m.records]).encode())
+        for m in messages:
+            if m is not None and not m.records:
+                where.delete_file(f"{folder}/{m.name}")
+        for manifest in before:
+            gone = _listed(where, manifest)
+            where.delete_file(manifest)
+            for name in gone:
+                where.delete_file(f"{folder}/{name}")
 
     def abort(self, messages: list) -> None:
         where, folder = fs.FileSystem.from_uri(self.path)
@@ -138,9 +158,10 @@ class _Reader(DataSourceReader):
         self.path = path
 
     def partitions(self) -> list[InputPartition]:
-        where, folder = fs.FileSystem.from_uri(self.path)
-        with where.open_input_stream(f"{folder}/{MANIFEST}", compression=None) as stream:
-            return [InputPartition(name) for name in json.loads(stream.read())] or [InputPartition(None)]
+        where, folder, manifests = _manifests(self.path)
+        if not manifests:
+            raise FileNotFoundError(f"no manifest in {self.path}")
+        return [InputPartition(name) for manifest in manifests for name in _listed(where, manifest)] or [InputPartition(None)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         names, rows, held = [x.split()[0] for x in SCHEMA.split(", ")], [], 0
@@ -152,7 +173,7 @@ class _Reader(DataSourceReader):
                 for record in members(stream):
                     x = parse(record)
                     digest = base64.b32decode(x["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-                    rows.append((_number(x["WARC-Record-ID"]), x.get("WARC-Target-URI"), x["WARC-Type"], _number(x.get("WARC-Refers-To")), int(x["WARC-Payload-Length"]), digest, x["payload"]))
+                    rows.append((_number(x.get("WARC-Page-ID")), x.get("WARC-Target-URI"), x["WARC-Type"], _number(x.get("WARC-Refers-To-Page-ID")), int(x["WARC-Payload-Length"]), digest, x["payload"]))
                     held += len(record)
                     if len(rows) >= BATCH or held >= BATCH_BYTES:
                         yield pack()
@@ -174,23 +195,27 @@ class WarcSource(DataSource):
         return _Reader(self.options["path"])
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return _Writer(self.options["path"], int(self.options.get("level", "6")))
+        return _Writer(self.options["path"], int(self.options.get("level", "6")), overwrite)
 
 
-def archive(pages: DataFrame, path: str, level: int = 6) -> None:
+def archive(pages: DataFrame, path: str, level: int = 6, overwrite: bool = False) -> None:
     """Writes a record for each row: of equal payloads of REVISIT_FROM bytes or more the row with the largest page_id
     is the response and the others revisit it. Rows that share that page_id are all responses; a null page_id is
-    smaller than any, and where only null ids share a payload all are responses. Null html is the empty payload.
+    smaller than any, and where only null ids share a payload all are responses. Null html is the empty payload, a null
+    url is left out. No rows leave a folder without records. Rows are added to what the folder has, or take its
+    place with ``overwrite``; what earlier writes put there is not looked at for revisits.
     """
     pages.sparkSession.dataSource.register(WarcSource)
     html = F.coalesce("html", F.lit(""))
     named = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.octet_length(html).alias("_n"), F.sha1(F.encode(html, "utf-8")).alias("_digest"))
-    # Of a hot payload each map task sends one row to the count; the join's hot partitions are split by adaptive execution.
-    shared = named.where(F.col("_n") >= REVISIT_FROM).groupBy("_digest", "_n").agg(F.max("page_id").alias("_largest"), F.count(F.lit(1)).alias("_copies")).where("_copies > 1")
-    copies = shared.select(F.col("_digest").alias("_of"), F.col("_n").alias("_of_n"), "_largest")
+    # Of a hot payload each map task sends one row to the count.
+    shared = named.where(F.col("_n") >= REVISIT_FROM).groupBy("_digest", "_n").agg(F.max(F.struct("page_id", "url")).alias("_r"), F.count(F.lit(1)).alias("_copies")).where("_copies > 1")
+    # Written first, so that Spark knows its size: a small table is broadcast and no payload is shuffled; a large one meets
+    # the payloads in a join whose hot partitions adaptive execution splits.
+    copies = written(shared.select(F.col("_digest").alias("_of"), F.col("_n").alias("_of_n"), F.col("_r.page_id").alias("_largest"), F.col("_r.url").alias("_url")), "copies")
     told = named.join(copies, (F.col("_digest") == F.col("_of")) & (F.col("_n") == F.col("_of_n")), "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("_largest")), F.col("_largest"))
-    told.select("page_id", "url", "html", refers.alias("refers_to")).write.format("warc").mode("append").option("level", level).save(path)
+    told.select("page_id", "url", "html", refers.alias("refers_to"), F.col("_url").alias("refers_url")).write.format("warc").mode("overwrite" if overwrite else "append").option("level", level).save(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
