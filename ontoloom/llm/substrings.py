@@ -7,7 +7,9 @@ anchor that several documents have are hashed in full, and the smallest document
 
 Documents are dealt into blocks. A block sends each of its distinct hashes once, sorted and packed by
 range of hash; what ranges find out comes back to the block as one bit for each hash it sent. So a
-passage that a third of all documents hold costs one hash a block, and no row is made per word.
+passage that a third of all documents hold costs one hash a block, and no row is made per word. A range
+has about RANGE_BYTES of anchors, however many blocks there are: a phase's messages are blocks times ranges,
+of RANGE_BYTES / blocks each, and become shorter than a row costs only beyond some 10**5 blocks.
 Phases: *anchors* (do other blocks have it?), *windows* (has another block a smaller document?),
 *removal* (the block's own texts, with both answers).
 """
@@ -16,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,8 @@ WINDOW, PERIOD, COVER = 13, 7, (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
 #: bytes of text in a block, and fewest blocks
 BLOCK_BYTES, LEAST_BLOCKS = 4 << 20, 128
+#: bytes of anchors in a range (windows are up to six times as many), bytes of anchors a byte of text, and fewest ranges
+RANGE_BYTES, ANCHOR_SHARE, LEAST_RANGES = 32 << 20, 0.6, 64
 #: what a null doc_id counts as: larger than any
 NO_ID = (1 << 63) - 1
 
@@ -101,13 +106,15 @@ def _whole(planes: bytes, kind) -> np.ndarray:
 def _answers(told: pa.Table, phase: int, ranges: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """One flag per hash that the block sent in a phase, in the order of ranges."""
     has, edges = ranges
-    out = np.zeros(int(edges[-1]), bool)
-    for r, p, bits in zip(*(told.column(c).to_pylist() for c in ("range", "phase", "bits")), strict=True):
-        if p == phase:
-            i = int(np.searchsorted(has, r))
-            a, b = int(edges[i]), int(edges[i + 1])
-            out[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
-    return out
+    rows = told.filter(pc.equal(told.column("phase"), phase)).sort_by("range")
+    if rows.num_rows != len(has) or (np.asarray(rows.column("range")) != has).any():
+        raise ValueError("answers and ranges do not fit")
+    # Each answer is padded to whole bytes: flags are taken from where its bytes begin.
+    size = np.diff(edges)
+    length = (size + 7) // 8
+    every = np.unpackbits(np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint8))
+    padding = (8 * (np.cumsum(length) - length)) - edges[:-1]
+    return every[np.arange(int(edges[-1])) + np.repeat(padding, size)].astype(bool)
 
 
 def _send(block: int, phase: int, ranges: tuple[np.ndarray, np.ndarray], hashes: np.ndarray, more: np.ndarray | None = None, docs: np.ndarray | None = None) -> pa.Table:
@@ -172,7 +179,7 @@ def _kept(block: Block, removed: np.ndarray) -> pa.Table:
     return pa.table({"doc_id": block.ids, "n_words": pa.array(w.count.astype(np.int64)), "kept": pa.array(kept, pa.string()), "removed": spans})
 
 
-def kept_texts(docs: DataFrame, blocks: int | None = None) -> DataFrame:
+def kept_texts(docs: DataFrame, blocks: int | None = None, ranges: int | None = None) -> DataFrame:
     """doc_id, n_words, kept (the words that stay, a space between them) and removed (runs of the words that go, as
     places of words from 0: begin, end past the last) per row of ``docs``.
 
@@ -180,11 +187,14 @@ def kept_texts(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     larger than any, and rows with the same id are never smaller than one another. Null texts have no words.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    if blocks is None:
+    if blocks is None or ranges is None:
         size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()[0] or 0
-        blocks = max(LEAST_BLOCKS, -(-size // BLOCK_BYTES))
-    n = blocks  # as many ranges as blocks: both grow with the text
-    dealt = rows.select(F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n)).cast("int").alias("block"), "doc_id", "text")
+        blocks = blocks or max(LEAST_BLOCKS, -(-size // BLOCK_BYTES))
+        ranges = ranges or max(LEAST_RANGES, int(size * ANCHOR_SHARE) // RANGE_BYTES + 1)
+    n = ranges
+    # Rows without an id, and those that share one, are dealt by their words.
+    by_text = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.octet_length("text").cast("long"))
+    dealt = rows.select(F.pmod(F.xxhash64("doc_id", by_text), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text")
 
     def in_order(table: pa.Table) -> pa.Table:
         # Rows of a block come in any order; ids, then lengths and texts settle it.
