@@ -50,22 +50,26 @@ def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", default: str
     told = rules.where("path is not null and host is not null").select(
         F.concat("host", "path").alias("_rule"), F.col("verdict").alias("_verdict"), F.sha2(F.concat("host", "path"), 256).alias("_full")
     )
-    told = told.groupBy("_rule", "_full").agg(F.max("_verdict").alias("_verdict")).withColumn("_short", F.substring("_full", 1, SHORT))
-    one = pages.select(F.col(key).alias("_key"), F.col("url").alias("_url")).groupBy("_key", "_url").agg(F.count(F.lit(1)).alias("_times"))
-    one = one.withColumns({"_host": host_of(F.col("_url")), "_path": path_of(F.col("_url"))})
+    told = told.groupBy("_rule", "_full").agg(F.max("_verdict").alias("_verdict"))
+    # Rules whose digests begin alike are one row, so that an expression meets one row at most.
+    told = told.groupBy(F.substring("_full", 1, SHORT).alias("_short")).agg(F.collect_list(F.struct(F.length("_rule").alias("n"), F.col("_verdict"), F.col("_rule"), F.col("_full"))).alias("_told"))
+    one = pages.select(F.col(key).alias("_key"), F.col("url").alias("_url")).withColumns({"_host": host_of(F.col("_url")), "_path": path_of(F.col("_url"))})
     parts = F.split("_host", r"\.", -1)
     suffixes = F.when(F.col("_host") == "", F.array().cast("array<string>")).otherwise(
         F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     )
     fitting = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("_path"))
     prefixes = F.transform(fitting, lambda n: F.substring(F.col("_path"), F.lit(1), n))
-    spread = one.withColumn("_suffix", F.explode_outer(suffixes)).withColumn("_prefix", F.explode_outer(prefixes))
-    spread = spread.withColumn("_digest", F.sha2(F.concat("_suffix", "_prefix"), 256)).withColumn("_start", F.substring("_digest", 1, SHORT))
+    every = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
+    spread = one.select("_key", "_url", F.posexplode_outer(every).alias("_n", "_said")).withColumn("_digest", F.sha2("_said", 256)).withColumn("_start", F.substring("_digest", 1, SHORT))
     met = spread.join(told, F.col("_start") == F.col("_short"), "left")
-    sure = F.when((F.col("_digest") == F.col("_full")) & (F.concat("_suffix", "_prefix") == F.col("_rule")), F.struct(F.length("_rule").alias("n"), "_verdict", "_rule"))
-    best = met.groupBy("_key", "_url").agg(F.max(sure).alias("_best"), F.first("_times").alias("_times"), F.first("_host").alias("host"), F.first("_path").alias("path"))
+    sure = F.filter("_told", lambda r: (r["_full"] == F.col("_digest")) & (r["_rule"] == F.col("_said")))
+    # One shuffle, of what tasks have of an url by then: its best rule, and how often its first expression came.
+    best = met.groupBy("_key", "_url").agg(F.max(F.get(sure, F.lit(0))).alias("_best"), F.count_if((F.col("_n") == 0) | F.col("_n").isNull()).alias("_times"))
     best = best.withColumn("_each", F.explode(F.array_repeat(F.lit(1), F.col("_times").cast("int"))))
-    return best.select(F.col("_key").alias(key), "host", "path", F.col("_best._rule").alias("rule"), F.coalesce("_best._verdict", F.lit(default)).alias("verdict"))
+    return best.select(
+        F.col("_key").alias(key), host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path"), F.col("_best._rule").alias("rule"), F.coalesce("_best._verdict", F.lit(default)).alias("verdict")
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
