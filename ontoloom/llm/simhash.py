@@ -1,11 +1,15 @@
 """Near duplicates by SimHash, with tables of distances to reference fingerprints (pivots).
 
-Equal fingerprints are one vertex. Two that differ in at most RADIUS = 2 of 64 bits agree wholly on at
-least two of four 16-bit quarters, so they meet under one of six keys (two quarters each). Who meets
-is compared through the pivot table: the distance to each reference fingerprint is computed once, and
-by the triangle inequality a pair whose distances to any pivot differ by more than RADIUS is discarded;
-only survivors are verified by exclusive or. Each key yields a spanning forest of its links, never all
-pairs, and forests are joined to components by rounds of small tables in the shared folder.
+Equal fingerprints are one vertex. Its pivot table, the Hamming distances to sixteen reference fingerprints, is
+computed once and stored with it. A pair whose distances to any pivot differ by more than RADIUS = 2 is discarded,
+by the triangle inequality, and only survivors are verified by exclusive or.
+
+Which pairs are looked at: two fingerprints that differ in at most two of 64 bits agree wholly on at least two of four
+16-bit quarters, so they meet under one of six keys (two quarters each). A key of more than HOT prints is not compared
+but split again by quarters of the 32 bits that it leaves free, and once more by quarters of the last 16; with 56 bits
+fixed a key has at most 2**8 prints. So no task compares more than HOT prints with each other, however many share a key.
+Each group yields a spanning forest of its links, never all pairs, and forests are joined to components by rounds of
+small tables in the shared folder.
 """
 
 from collections.abc import Iterator
@@ -13,29 +17,59 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ontoloom.llm import text as T
 from ontoloom.shared import unused, written
 
-SHINGLE, SEED, RADIUS = 3, 42, 2
+SHINGLE, SEED, RADIUS, PIVOTS = 3, 42, 2, 16
 #: which two of the four quarters make each key
-KEYS = [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
-#: keys met together in one task; more keys make more tasks, not larger ones
-KEYS_A_TASK = 1 << 15
-#: distances of a block of rows to all rows of its key are held at once
-BLOCK = 1 << 22
+PICKS = [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
+#: a key of more prints is split; the last level's keys cannot have more
+HOT, LEVELS = 256, 3
+#: links that are held before they are reduced to a forest
+HELD = 1 << 20
+MET = "u long, v long, path int, fixed long, print long, low long, high long"
 
 
-def references(n: int = 16) -> np.ndarray:
+def fixed_masks() -> list[np.ndarray]:
+    """For each level, by path (which picks were taken, as a number to base 6), the bits that a key fixes."""
+
+    def below(free: list[int], fixed: int, level: int) -> list[tuple[int, int]]:
+        quarter = len(free) // 4
+        parts, out = [free[i * quarter : (i + 1) * quarter] for i in range(4)], []
+        for pick in PICKS:
+            mask = fixed | sum(1 << bit for i in pick for bit in parts[i])
+            rest = [bit for i in range(4) if i not in pick for bit in parts[i]]
+            out += [(level, mask), *(below(rest, mask, level + 1) if level + 1 < LEVELS else [])]
+        return out
+
+    every = below(list(range(64)), 0, 0)
+    # Depth first, so within a level masks come in order of path.
+    return [np.array([mask for at, mask in every if at == level], np.uint64).view(np.int64) for level in range(LEVELS)]
+
+
+def references(n: int = PIVOTS) -> np.ndarray:
     """Reference fingerprints far from each other: rows of the 64-bit Hadamard code, from the parity of index and row."""
     bits = np.arange(64, dtype=np.uint64)
     rows = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(3)
     return np.array([int(sum(1 << int(b) for b in bits if bin(int(r) & int(b)).count("1") & 1)) for r in rows], np.uint64)
 
 
+def pivot_table(print_: Column) -> tuple[Column, Column]:
+    """Distances to the references, a byte each, the first eight in one long and the others in another."""
+    far = [F.bit_count(print_.bitwiseXOR(F.lit(r))).cast("long") for r in references().view(np.int64).tolist()]
+    packed = []
+    for half in (far[: PIVOTS // 2], far[PIVOTS // 2 :]):
+        out = half[0]
+        for i, x in enumerate(half[1:], 1):
+            out = out.bitwiseOR(F.shiftleft(x, 8 * i))
+        packed.append(out)
+    return packed[0], packed[1]
+
+
 def fingerprint(text: bytes) -> int:
     """The SimHash of one text's words, A-Z lower-cased; no words: zero."""
     words = text.lower().split()
@@ -70,82 +104,118 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_prints, "doc_id long, print long")
 
 
-def links(prints: np.ndarray, pivots: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of ``prints`` (distinct, of one key) under distance <= RADIUS."""
-    n = len(prints)
-    parent = list(range(n))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    table = np.bitwise_count(prints[:, None] ^ pivots[None, :]).astype(np.int8)
-    order = np.argsort(table[:, 0], kind="stable")
-    prints, table = prints[order], table[order]
-    edges = []
-    # Sorted by the first coordinate, a row's partners are a run of rows; the others prune within it.
-    stop = np.searchsorted(table[:, 0], table[:, 0] + np.int8(RADIUS), "right")
-    i = 0
-    while i < n:
-        rows = max(1, min(n - i, BLOCK // max(1, int(stop[i]) - i)))
-        j = int(stop[min(n, i + rows) - 1])
-        a, b = np.arange(i, i + rows), np.arange(i, j)
-        alive = b[None, :] > a[:, None]
-        for c in range(table.shape[1]):
-            alive &= np.abs(table[i : i + rows, c][:, None] - table[i:j, c][None, :]) <= RADIUS
-            if c % 4 == 3 and not alive.any():
+def _forest(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """The smallest member of each of n rows' components, given those so far and more links."""
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        low, high = np.minimum(x, y)[apart], np.maximum(x, y)[apart]
+        np.minimum.at(root, high, low)
+        while True:
+            after = root[root]
+            if (after == root).all():
                 break
-        x, y = np.nonzero(alive)
-        near = np.bitwise_count(prints[a[x]] ^ prints[b[y]]) <= RADIUS
-        for u, v in zip(order[a[x[near]]].tolist(), order[b[y[near]]].tolist(), strict=True):
-            p, q = root(u), root(v)
-            if p != q:
-                parent[max(p, q)] = min(p, q)
-                edges.append((u, v))
-        i += rows
-    return edges
+            root = after
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Vertices and prints sorted by key -> edges between vertices. Keys of one member pass at no cost."""
-    pivots, kept = references(), None
-    names = ["u", "v"]
+def links(key: np.ndarray, prints: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prints u and v of a spanning forest of the links within each run of equal ``key``.
 
-    def solve(part):
-        key, vertex, prints = part
-        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.append(edge, len(key)))
-        u, v = [], []
-        for a, n in zip(edge[size > 1].tolist(), size[size > 1].tolist(), strict=True):
-            for x, y in links(prints[a : a + n], pivots):
-                u.append(vertex[a + x])
-                v.append(vertex[a + y])
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v).astype(np.int64)), pa.array(np.minimum(u, v).astype(np.int64))], names)
+    ``table``: distances to the pivots (rows x PIVOTS); each run is sorted by the first of them, so that a row's partners
+    are the rows that follow while it differs by at most RADIUS. The other pivots prune, exclusive or verifies."""
+    n, root = len(key), np.arange(len(key))
+    stop = np.searchsorted(key, key, "right") if n else np.zeros(0, np.int64)
+    alive, step, held = np.arange(n), 0, []
+    while True:
+        step += 1
+        alive = alive[alive + step < stop[alive]]
+        alive = alive[table[alive + step, 0] - table[alive, 0] <= RADIUS]
+        if not len(alive):
+            break
+        left = alive[(np.abs(table[alive + step] - table[alive]) <= RADIUS).all(axis=1)]
+        near = left[np.bitwise_count(prints[left] ^ prints[left + step]) <= RADIUS]
+        held.append((near, near + step))
+        if sum(len(x) for x, _ in held) > HELD:
+            root, held = _forest(n, *(np.concatenate(x) for x in zip(*held, strict=True)), root), []
+    if held:
+        root = _forest(n, *(np.concatenate(x) for x in zip(*held, strict=True)), root)
+    child = np.flatnonzero(root != np.arange(n))
+    return prints[child], prints[root[child]]
+
+
+def _met(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.RecordBatch]:
+    """Rows (path, fixed, print, low, high) sorted by key and first pivot -> links u > v, and the rows of keys that have
+    more than HOT, under the next level's keys. At most HOT rows of a key are held."""
+    names, masks = [x.split()[0] for x in MET.split(", ")], fixed_masks()
+    kept, hot = None, None
+
+    def solve(rows):
+        path, fixed, prints, low, high = rows
+        table = np.stack([low, high], axis=1).view(np.uint8).astype(np.int8)
+        # Path and fixed bits as one number of the run.
+        run = np.cumsum(np.concatenate([[False], (path[1:] != path[:-1]) | (fixed[1:] != fixed[:-1])]))[: len(path)]
+        u, v = (x.view(np.int64) for x in links(run, prints.view(np.uint64), table))
+        none = [pa.nulls(len(u), pa.int32()), *[pa.nulls(len(u), pa.int64())] * 4]
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v)), *none], names)
+
+    def again(rows):
+        path, _, *rest = rows
+        for k in range(len(PICKS)):
+            below = path * len(PICKS) + k
+            at = [pa.array(x) for x in (below.astype(np.int32), rest[0] & masks[level + 1][below], *rest)]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(path), pa.int64()), pa.nulls(len(path), pa.int64()), *at], names)
 
     for batch in batches:
-        if not batch.num_rows:
+        rows = [np.asarray(batch.column(i)) for i in range(5)]
+        if hot is not None:
+            same = int(((rows[0] == hot[0]) & (rows[1] == hot[1])).sum())
+            if same:
+                yield from again([x[:same] for x in rows])
+                rows = [x[same:] for x in rows]
+        if not len(rows[0]):
             continue
-        part = [np.asarray(batch.column(0)), np.asarray(batch.column(1)), np.asarray(batch.column(2)).view(np.uint64)]
+        hot = None
         if kept is not None:
-            part = [np.concatenate(x) for x in zip(kept, part, strict=True)]
-        # The last key may go on in the next batch.
-        last = int(np.searchsorted(part[0], part[0][-1], "left"))
-        if last:
-            yield solve([x[:last] for x in part])
-        kept = [x[last:] for x in part]
+            rows = [np.concatenate(x) for x in zip(kept, rows, strict=True)]
+        edge = np.flatnonzero(np.concatenate([[True], (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])]))
+        size = np.diff(np.append(edge, len(rows[0])))
+        many = np.repeat(size > HOT, size)
+        # The last key may go on in the next batch: it waits, or is known to be hot.
+        kept = None
+        if size[-1] > HOT:
+            hot = (rows[0][-1], rows[1][-1])
+        else:
+            kept = [x[edge[-1] :].copy() for x in rows]
+            many, rows = many[: edge[-1]], [x[: edge[-1]] for x in rows]
+        if many.any():
+            yield from again([x[many] for x in rows])
+        yield solve([x[~many] for x in rows])
     if kept is not None:
         yield solve(kept)
 
 
-def pairs(vertices: DataFrame) -> DataFrame:
-    """Edges (u > v) that span the components within every key; ``vertices``: vertex, print, distinct prints."""
-    quarter = lambda i: F.shiftrightunsigned(F.col("print"), 16 * i).bitwiseAND(F.lit(0xFFFF))
-    keyed = [F.lit(k << 32) + F.shiftleft(quarter(a), 16) + quarter(b) for k, (a, b) in enumerate(KEYS)]
-    spread = vertices.select(F.explode(F.array(*keyed)).alias("key"), "vertex", "print")
-    # A key is one group, but of distinct prints that share 32 bits; copies, however many, are one vertex by now.
-    return spread.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_met, "u long, v long")
+def pairs(prints: DataFrame) -> DataFrame:
+    """Edges (u > v, fingerprints) that span the components within every key; ``prints``: column print, each once.
+
+    No prints, or none with a partner, give no edges."""
+    low, high = pivot_table(F.col("print"))
+    masks = fixed_masks()[0].tolist()
+    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("path"), F.col("print").bitwiseAND(F.lit(m)).alias("fixed")) for k, m in enumerate(masks)]))
+    told = prints.select("print", low.alias("low"), high.alias("high")) if "low" not in prints.columns else prints.select("print", "low", "high")
+    rows = told.select(keys.alias("k"), "print", "low", "high").select("k.path", "k.fixed", "print", "low", "high")
+    edges = None
+    for level in range(LEVELS):
+        first = F.col("low").bitwiseAND(F.lit(255))
+        sorted_ = rows.repartition(F.col("path"), F.col("fixed")).sortWithinPartitions("path", "fixed", first)
+        met = written(sorted_.mapInArrow(lambda b, level=level: _met(b, level), MET), "links")
+        found = met.where("u is not null").select("u", "v")
+        edges = found if edges is None else edges.unionByName(found)
+        rows = met.where("u is null").select("path", "fixed", "print", "low", "high")
+        if level + 1 == LEVELS or rows.isEmpty():
+            break
+    return edges
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -178,9 +248,10 @@ def components(edges: DataFrame) -> DataFrame:
 def _leads(prints: DataFrame) -> DataFrame:
     """_print, _component, _lead of each distinct fingerprint of ``prints`` (doc_id, print): the smallest fingerprint of
     its component, which names that one alone, and the component's smallest doc_id, null where no row of it has one."""
-    vertices = written(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "vertices")
+    low, high = pivot_table(F.col("print"))
+    vertices = written(prints.groupBy("print").agg(F.min("doc_id").alias("least")).withColumns({"low": low, "high": high}), "vertices")
     # Documents that share an id have several fingerprints: only these tell vertices apart.
-    found = components(pairs(vertices.select(F.col("print").alias("vertex"), "print")))
+    found = components(pairs(vertices))
     named = vertices.join(found, F.col("print") == F.col("vertex"), "left").select("print", "least", F.coalesce("component", "print").alias("_component"))
     lead = named.groupBy(F.col("_component").alias("_c")).agg(F.min("least").alias("_lead"))
     return named.join(lead, F.col("_component") == F.col("_c")).select(F.col("print").alias("_print"), "_component", "_lead")
