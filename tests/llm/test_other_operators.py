@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -34,6 +35,18 @@ def test_warc_round_trip(spark, tmp_path):
         assert r.payload_bytes == len(html) and r.payload_digest == hashlib.sha1(html).hexdigest()
         assert r.payload is None if r.record_type == "revisit" else bytes(r.payload) == html
     assert {(r.page_id, r.record_type, r.refers_to) for r in rows if r.record_type == "revisit"} == {(1, "revisit", 2), (6, "revisit", 7)}
+    # A second write adds to the first; records have ids of their own, also where pages repeat.
+    more = spark.createDataFrame([(11, "v", "w" * 50), (1, "v", "other")], "page_id long, url string, html string")
+    warc.archive(more, path)
+    again = warc.read(spark, path).collect()
+    assert len(again) == len(PAGES) + 2 and {11, 1, 10} <= {r.page_id for r in again}
+    ids = []
+    for name in (tmp_path / "w").glob("*.warc.gz"):
+        with open(name, "rb") as stream:
+            ids += [warc.parse(x)["WARC-Record-ID"] for x in warc.members(stream)]
+    assert len(set(ids)) == len(ids) == len(again)
+    warc.archive(more, path, overwrite=True)
+    assert sorted(r.page_id for r in warc.read(spark, path).collect()) == [1, 11] and len(list((tmp_path / "w").glob("*.warc.gz"))) <= 2
     empty = str(tmp_path / "e")
     warc.archive(df.limit(0), empty)
     assert warc.read(spark, empty).count() == 0
@@ -123,7 +136,7 @@ def brute_components(prints):
 def test_simhash_equals_brute_force(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     extra = spark.createDataFrame([(10**6, None), (10**6 + 1, ""), (10**6 + 2, "One"), (10**6 + 3, "one two"), (10**6 + 4, "ÀA bB"), (10**6 + 5, LONG)], "doc_id long, text string")
-    docs.select("doc_id", "text").unionByName(extra).withColumns({"print": F.lit(1), "vertex": F.lit(2)}).write.parquet(str(tmp_path / "documents.parquet"))
+    docs.select("doc_id", "text").unionByName(extra).withColumns({"print": F.lit(1), "low": F.lit(2), "path": F.lit(3)}).write.parquet(str(tmp_path / "documents.parquet"))
     rows = simhash.query(spark, str(tmp_path)).collect()
     texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").unionByName(extra).collect()}
     prints = {i: brute_print(t) for i, t in texts.items()}
@@ -135,6 +148,67 @@ def test_simhash_equals_brute_force(spark, tmp_path):
     assert brute_print("A b c") == one % (1 << 64)
 
 
+def signed(p):
+    return p - (1 << 64) if p >> 63 else p
+
+
+def linked(spark, prints):
+    """The smallest fingerprint of each one's component."""
+    df = spark.createDataFrame([(signed(p),) for p in prints], "print long")
+    found = {r.vertex: r.component for r in simhash.components(simhash.pairs(df)).collect()}
+    return {signed(p): found.get(signed(p), signed(p)) for p in prints}
+
+
+def test_keys_have_every_pair_within_two_bits():
+    masks = [[int(m) & (1 << 64) - 1 for m in level] for level in simhash.fixed_masks()]
+    assert [(len(x), {m.bit_count() for m in x}) for x in masks] == [(6, {32}), (36, {48}), (216, {56})]
+    rng = random.Random(5)
+    for _ in range(300):
+        bits = sum(1 << rng.randrange(64) for _ in range(rng.randrange(3)))
+        paths = [range(6)]
+        for level in range(3):
+            met = [p for p in paths[level] if masks[level][p] & bits == 0]
+            assert met and (not level or all(masks[level][p] & masks[level - 1][p // 6] == masks[level - 1][p // 6] for p in met))
+            paths.append([p * 6 + k for p in met for k in range(6)])
+
+
+def test_a_hundred_thousand_prints_that_share_a_key(spark):
+    """A key of 10**5 prints is split twice; what is linked is what single bits and pairs of bits say."""
+    rng = np.random.default_rng(3)
+    low = rng.choice(1 << 32, 100_000, replace=False).astype(np.uint64)
+    prints = low | np.uint64(0xABCD1234 << 32)
+    df = spark.createDataFrame(pd.DataFrame({"print": prints.view(np.int64)}))
+    found = simhash.components(simhash.pairs(df)).toPandas()
+    where, parent = {int(p): i for i, p in enumerate(low)}, list(range(len(low)))
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    flips = [1 << i for i in range(32)] + [1 << i | 1 << j for i in range(32) for j in range(i)]
+    for f in flips:
+        for i in np.flatnonzero(np.isin(low ^ np.uint64(f), low)).tolist():
+            a, b = root(i), root(where[int(low[i]) ^ f])
+            parent[a] = b
+    groups = {}
+    for i in range(len(low)):
+        groups.setdefault(root(i), []).append(int(prints[i : i + 1].view(np.int64)[0]))
+    want = {p: min(g) for g in groups.values() if len(g) > 1 for p in g if p != min(g)}
+    assert len(want) > 500 and dict(zip(found.vertex.tolist(), found.component.tolist(), strict=True)) == want
+
+
+def test_every_print_of_a_dense_block(spark):
+    """All 2**12 prints of twelve bits, spread over all quarters, and some far from any: keys of thousands, one component."""
+    rng, bits = random.Random(11), [0, 5, 13, 16, 20, 31, 32, 40, 47, 48, 55, 63]
+    base = rng.getrandbits(64)
+    prints = {base ^ sum(1 << b for i, b in enumerate(bits) if x >> i & 1) for x in range(1 << 12)}
+    far = {rng.getrandbits(64) for _ in range(50)}
+    got = linked(spark, prints | far)
+    assert {got[signed(p)] for p in prints} == {min(map(signed, prints))} and all(got[signed(p)] == signed(p) for p in far)
+
+
 def test_links_and_components_of_clusters(spark):
     rng = random.Random(7)
     prints = set()
@@ -145,11 +219,7 @@ def test_links_and_components_of_clusters(spark):
             for _ in range(rng.randrange(5)):
                 x ^= 1 << rng.randrange(64)
             prints.add(x)
-    prints = {i: p for i, p in enumerate(sorted(prints, key=lambda p: p * 7919 % 10007))}
-    signed = lambda p: p - (1 << 64) if p >> 63 else p
-    df = spark.createDataFrame([(i, signed(p)) for i, p in prints.items()], "vertex long, print long")
-    found = {r.vertex: r.component for r in simhash.components(simhash.pairs(df)).collect()}
-    assert {i: found.get(i, i) for i in prints} == brute_components(prints)
+    assert linked(spark, prints) == brute_components({signed(p): p for p in prints})
     chain = spark.createDataFrame([(i + 1, i) for i in range(60)] + [(101, 100)], "u long, v long")
     assert {r.vertex: r.component for r in simhash.components(chain).collect()} == {**{i: 0 for i in range(1, 61)}, 101: 100}
 
