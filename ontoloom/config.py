@@ -41,10 +41,16 @@ class Settings:
     parents_below: int = 130_000
     #: "indel" or "levenshtein"
     lev_kernel: str = "indel"
-    #: "exact" or "ivf"
-    search: str = "exact"
+    #: "exact", "ivf", "ivfpq", or "auto": by the targets of the largest type
+    search: str = "auto"
     ivf_from: int = 1_000_000
+    pq_from: int = 10_000_000
     probes_divisor: int = 16
+    training_ratio: int = 39
+    subquantizers: int = 16
+    #: types of as many entities check this many sources in reverse
+    wide_reverse_from: int = 60_000
+    wide_reverse: int = 20
     other_threshold: float = 0.80
     thresholds: dict[str, float] = field(default_factory=_thresholds)
     thresholds_v1: dict[str, float] = field(default_factory=_thresholds_v1)

@@ -108,12 +108,12 @@ def isub_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def tokens(label: Column) -> Column:
     """The set of a label's words without stopwords."""
-    return F.array_distinct(F.filter(F.split(F.lower(label), " "), lambda w: (w != "") & ~w.isin(STOPWORDS)))
+    return F.array_distinct(F.filter(F.split(label, " "), lambda w: (w != "") & ~w.isin(STOPWORDS)))
 
 
 def token_set_similarity(a: Column, b: Column) -> Column:
-    """Jaccard of words without stopwords; equal labels are 1."""
-    return F.when(a == b, F.lit(1.0)).otherwise(_jaccard(tokens(a), tokens(b)))
+    """Jaccard of words without stopwords; 0 where either label has none, even if the labels are equal."""
+    return _jaccard(tokens(a), tokens(b))
 
 
 def acronym_bonus(a: Column, b: Column) -> Column:

@@ -1,10 +1,10 @@
 """Sizes, the medical detector and what depends on them: number of candidates, thresholds, encoder."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ontoloom.config import Settings
-from ontoloom.functions.vectors import inner_product
+from ontoloom.operators.knn import nearest
 
 # Address patterns of medical ontologies, any case.
 MEDICAL_URIS = [
@@ -79,16 +79,14 @@ def adaptive_k(size: float, n_src: Column, n_tgt: Column, ambiguity: Column, rel
 def ambiguity(targets: DataFrame, sample: int = 64) -> DataFrame:
     """etype, ambiguity in [0, 1]: how close the best and the fifth neighbour of sampled targets are; 0 below 8 targets.
 
-    ``targets``: uri, etype, vec. The sample, the first 64 by a hash of the URI, is searched within itself."""
+    ``targets``: uri, etype, vec. The sample, the first 64 of a type by a digest of the URI, is searched among all targets
+    of its type, a sampled target among them."""
     # A window in two steps: partitions keep 64 rows of a type each before any row of a type meets the others.
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("etype").orderBy(F.xxhash64("uri"), "uri"))
+    rank = F.row_number().over(Window.partitionBy("etype").orderBy(F.md5("uri"), "uri"))
     picked = targets.withColumn("_r", rank).where(F.col("_r") <= sample).drop("_r")
-    pairs = picked.alias("a").join(picked.alias("b"), "etype").select("etype", F.col("a.uri").alias("uri"), F.col("b.uri").alias("other"), inner_product(F.col("a.vec"), F.col("b.vec")).alias("s"))
-    # At most 64 x 64 pairs a type.
-    near = pairs.groupBy("etype", "uri").agg(F.slice(F.sort_array(F.collect_list("s"), asc=False), 1, 5).alias("top"))
-    gaps = near.groupBy("etype").agg(F.count(F.lit(1)).alias("n"), F.avg(F.greatest(F.lit(0.0), F.least(F.lit(2.0), F.element_at("top", 1) - F.element_at("top", -1)))).alias("gap"))
+    near = nearest(picked, targets, 5).groupBy("etype", "source").agg(F.max("score").alias("first"), F.min("score").alias("last"))
+    # At most 64 rows a type; fewer than eight of them are all that the type has.
+    gaps = near.groupBy("etype").agg(F.count(F.lit(1)).alias("n"), F.avg(F.greatest(F.lit(0.0), F.least(F.lit(2.0), F.col("first") - F.col("last")))).alias("gap"))
     return gaps.select("etype", F.when(F.col("n") < 8, 0.0).otherwise(1.0 - F.least(F.lit(1.0), F.col("gap") / 0.5)).alias("ambiguity"))
 
 

@@ -1,6 +1,7 @@
 """Vectors of labels: providers, and a cache table that only new labels are encoded for."""
 
 import hashlib
+import importlib.util
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,14 +19,20 @@ DIMENSIONS = 256
 
 def hashed_trigrams(labels: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
     """A deterministic encoder that needs no model: counts of padded character trigrams, hashed with a sign."""
-    out = np.zeros((len(labels), dimensions), np.float32)
-    for row, label in enumerate(labels):
-        padded = f"  {label} "
-        for i in range(len(padded) - 2):
-            digest = hashlib.blake2b(padded[i : i + 3].encode(), digest_size=8).digest()
-            at = int.from_bytes(digest[:4], "little") % dimensions
-            out[row, at] += 1.0 if digest[4] & 1 else -1.0
-    return out
+    padded = [f"  {label} " for label in labels]
+    grams = [p[i : i + 3] for p in padded for i in range(len(p) - 2)]
+    # Each distinct trigram is hashed once.
+    said, which = np.unique(np.array(grams, dtype=object).astype(str), return_inverse=True) if grams else (np.zeros(0, str), np.zeros(0, np.int64))
+    digests = np.frombuffer(b"".join(hashlib.blake2b(g.encode(), digest_size=8).digest() for g in said.tolist()), np.uint8).reshape(-1, 8)
+    at = (digests[:, :4].copy().view("<u4")[:, 0] % np.uint32(dimensions)).astype(np.int64)
+    sign = np.where(digests[:, 4] & 1, 1.0, -1.0)
+    row = np.repeat(np.arange(len(labels)), [len(p) - 2 for p in padded])
+    flat = np.bincount(row * dimensions + at[which], sign[which], len(labels) * dimensions)
+    return flat.reshape(len(labels), dimensions).astype(np.float32)
+
+
+def models_installed() -> bool:
+    return importlib.util.find_spec("sentence_transformers") is not None
 
 
 def model_encoder(name: str, max_tokens: int, batch: int = 256) -> Callable[[], Encoder]:
@@ -69,11 +76,11 @@ def split_by_cache(labels: DataFrame, cache: DataFrame) -> tuple[DataFrame, Data
     return wanted.join(cache.select("label", "vec"), "label"), wanted.join(cache.select("label"), "label", "left_anti")
 
 
-def encode_cached(labels: DataFrame, path: str, model: str = "hashed_trigrams", make: Callable[[], Encoder] = lambda: hashed_trigrams) -> DataFrame:
+def encode_cached(labels: DataFrame, path: str, model: str = "hashed_trigrams", make: Callable[[], Encoder] = lambda: hashed_trigrams, normalise: bool = True) -> DataFrame:
     """As encode(), with a Parquet cache partitioned by model: misses are encoded, appended and read back."""
     spark, known = labels.sparkSession, read_cache(labels.sparkSession, path, model)
     misses = labels if known is None else split_by_cache(labels, known)[1]
-    encode(misses, make).withColumn("model", F.lit(model)).write.mode("append").partitionBy("model").parquet(path)
+    encode(misses, make, normalise).withColumn("model", F.lit(model)).write.mode("append").partitionBy("model").parquet(path)
     return labels.select("label").where("label is not null").distinct().join(read_cache(spark, path, model), "label")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ontoloom.config import Settings
 from ontoloom.functions import similarity as S
+from ontoloom.functions.labels import words
 from ontoloom.operators.domain import threshold_of
 from ontoloom.shared import written
 
@@ -60,17 +61,18 @@ def lexical_gate(exact: Column, sem: Column, lev: Column, isub: Column, tokset:
 
 
 def idf_weights(labels: DataFrame) -> DataFrame:
-    """etype, token, idf = ln((N + 1) / (df + 1)) + 1, N the labels of the type that have words beyond stopwords."""
-    told = labels.select("etype", S.tokens(F.col("label")).alias("tokens")).where(F.size("tokens") > 0)
+    """etype, token, idf = ln((N + 1) / (df + 1)) + 1 of every word, stopwords too; N the labels of the type that have any."""
+    told = labels.select("etype", F.array_distinct(words(F.col("label"))).alias("tokens")).where(F.size("tokens") > 0)
     counts = told.groupBy("etype").agg(F.count(F.lit(1)).alias("n"))
     df = told.select("etype", F.explode("tokens").alias("token")).groupBy("etype", "token").agg(F.count(F.lit(1)).alias("df"))
     return df.join(F.broadcast(counts), "etype").select("etype", "token", (F.log((F.col("n") + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
 
 
 def weighted_jaccard(pairs: DataFrame, idf: DataFrame) -> DataFrame:
-    """etype, a, b (distinct labels of ``pairs``), wjaccard: weight of common words over that of all; unknown words weigh 1."""
+    """etype, a, b (distinct labels of ``pairs``), wjaccard: weight of common words over that of all, stopwords too;
+    unknown words weigh 1. Pairs without any word have no row."""
     keys = pairs.select("etype", "a", "b").distinct()
-    every = keys.select("etype", "a", "b", S.tokens(F.col("a")).alias("_a"), S.tokens(F.col("b")).alias("_b"))
+    every = keys.select("etype", "a", "b", F.array_distinct(words(F.col("a"))).alias("_a"), F.array_distinct(words(F.col("b"))).alias("_b"))
     said = every.select("etype", "a", "b", F.explode(F.array_union("_a", "_b")).alias("token"), "_a", "_b")
     said = said.select("etype", "a", "b", "token", (F.array_contains("_a", F.col("token")) & F.array_contains("_b", F.col("token"))).alias("both"))
     weighed = said.join(idf, ["etype", "token"], "left").withColumn("w", F.coalesce("idf", F.lit(1.0)))

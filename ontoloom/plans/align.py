@@ -2,7 +2,7 @@
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ontoloom.config import Settings
@@ -46,6 +46,27 @@ def _keep(df: DataFrame, *more: str) -> DataFrame:
     return out.dropDuplicates(["uri"])
 
 
+def search_way(settings: Settings, buckets: DataFrame) -> str:
+    """How neighbours are searched: as the settings say, or by the number of targets of the largest type."""
+    if settings.search != "auto":
+        return settings.search
+    most = buckets.agg(F.max(F.greatest("n_src", "n_tgt"))).first()[0] or 0
+    return "ivfpq" if most >= settings.pq_from else "ivf" if most >= settings.ivf_from else "exact"
+
+
+def approximate(settings: Settings, way: str):
+    """A search as knn.nearest(), by inverted lists, with codes in place of vectors for "ivfpq"."""
+
+    def search(src: DataFrame, tgt: DataFrame, k: int | DataFrame) -> DataFrame:
+        cells = knn.centroids(tgt, ratio=settings.training_ratio)
+        probes = knn.probes_of(len(cells), settings.probes_divisor)
+        if way == "ivf":
+            return knn.ivf_nearest(src, tgt, k, cells, probes)
+        return knn.ivfpq_nearest(src, tgt, k, cells, knn.codebooks(tgt, settings.subquantizers), probes)
+
+    return search
+
+
 def candidates(src: DataFrame, tgt: DataFrame, settings: Settings, known: Sizes, relaxation: float = 1.0, vectors: DataFrame | None = None) -> DataFrame:
     """Scored candidate pairs of one stage: nearest neighbours, hub discount, floor, reciprocity, scores and gate.
 
@@ -56,12 +77,13 @@ def candidates(src: DataFrame, tgt: DataFrame, settings: Settings, known: Sizes,
     if vectors is not None:
         src, tgt = (df.join(vectors, "label") for df in (src, tgt))
         unsure = domain.ambiguity(tgt) if settings.k is None else None
-        search = (lambda a, b, k: knn.ivf_nearest(a, b, k)) if settings.search == "ivf" else knn.nearest
+        way = search_way(settings, buckets)
+        search = approximate(settings, way) if way != "exact" else knn.nearest
     else:
         src, tgt = embed.token_sets(src), embed.token_sets(tgt)
         # Below the lowest floor of any type no pair can pass.
         least = min([*settings.thresholds.values(), settings.other_threshold]) * relaxation * settings.floor_ratio
-        unsure, search = None, lambda a, b, k: knn.token_nearest(a, b, k, least)
+        way, unsure, search = "exact", None, lambda a, b, k: knn.token_nearest(a, b, k, least)
     if settings.k is not None:
         buckets = buckets.withColumn("k", F.least(F.lit(settings.k), F.col("n_tgt")).cast("int"))
     else:
@@ -74,12 +96,13 @@ def candidates(src: DataFrame, tgt: DataFrame, settings: Settings, known: Sizes,
     found = forward.join(knn.hub_counts(forward), ["etype", "target"]).join(sized, "etype")
     found = found.withColumn("sem", resolve.hub_discount(F.col("score"), F.col("freq"), F.col("n_src"), F.col("n_tgt"), F.col("k"), settings))
     found = found.where(resolve.above_floor(F.col("sem"), F.col("etype"), relaxation, settings))
-    if settings.search == "ivf" and vectors is not None:
+    if way != "exact":
         # Exact search returns the same score both ways, so only approximate search has anything to check.
-        back = knn.reverse_nearest(src, tgt, forward, settings.k or 20)
+        wide = F.greatest("n_src", "n_tgt") >= settings.wide_reverse_from
+        back = knn.reverse_nearest(src, tgt, forward, buckets.select("etype", F.least(F.when(wide, settings.wide_reverse).otherwise(F.col("k")), F.col("n_src")).cast("int").alias("k")), search=search)
         found = knn.with_reverse(found, back)
         cutoff = domain.threshold_of(F.col("etype"), settings) * relaxation
-        found = found.where(resolve.reciprocal(F.col("score"), F.col("rev"), cutoff, settings))
+        found = found.where(resolve.reciprocal(F.col("sem"), F.col("rev"), cutoff, settings))
     left = src.select(F.col("uri").alias("source"), F.col("label").alias("a"), F.col("parents").alias("a_parents"))
     right = tgt.select(F.col("uri").alias("target"), F.col("label").alias("b"), F.col("parents").alias("b_parents"))
     pairs = found.select("source", "target", "etype", "sem").join(left, "source").join(right, "target")
@@ -113,6 +136,11 @@ def align(src: DataFrame, tgt: DataFrame, settings: Settings = Settings(), vecto
     return claims.select("source", "target", "etype", F.round("score", 4).alias("score"))
 
 
+def lengths_fit(a: Column, b: Column) -> Column:
+    """v1's filter: lengths differ by at most 0.6 of the longer one."""
+    return F.abs(F.length(a) - F.length(b)) <= 0.6 * F.greatest(F.length(a), F.length(b))
+
+
 def align_v1(src: DataFrame, tgt: DataFrame, settings: Settings = Settings(), vectors: DataFrame | None = None) -> DataFrame:
     """The first version: exact labels, then the one best target of each source above its type's threshold, greedily."""
     src, tgt = written(_keep(src), "source"), written(_keep(tgt), "target")
@@ -125,8 +153,7 @@ def align_v1(src: DataFrame, tgt: DataFrame, settings: Settings = Settings(), ve
     else:
         best = knn.nearest(rest_s.join(vectors, "label"), rest_t.join(vectors, "label"), 1)
     labels = best.join(rest_s.select(F.col("uri").alias("source"), F.col("label").alias("a")), "source").join(rest_t.select(F.col("uri").alias("target"), F.col("label").alias("b")), "target")
-    far = F.abs(F.length("a") - F.length("b")) > 0.6 * F.greatest(F.length("a"), F.length("b"))
-    found = labels.where((F.col("score") >= domain.threshold_of(F.col("etype"), settings, v1=True)) & ~far).select(*PAIRS)
+    found = labels.where((F.col("score") >= domain.threshold_of(F.col("etype"), settings, v1=True)) & lengths_fit(F.col("a"), F.col("b"))).select(*PAIRS)
     return claims.unionByName(greedy_one_to_one(found))
 
 

@@ -44,7 +44,7 @@ def norm_sql(x: str) -> str:
 
 NORM = norm_sql("coalesce(text, '')")
 ENT_SQL = f"ent as (select doc_id::varchar as uri, {NORM} as label, lang as etype, source as parent, doc_id % 2 as side from documents), e as (select * from ent where label <> '')"
-TOK = lambda x: f"list_distinct(list_filter(string_split(lower({x}), ' '), lambda w: w <> '' and not list_contains({STOP_SQL}, w)))"
+TOK = lambda x: f"list_distinct(list_filter(string_split({x}, ' '), lambda w: w <> '' and not list_contains({STOP_SQL}, w)))"
 WORDS = lambda x: f"list_distinct(list_filter(string_split({x}, ' '), lambda w: w <> ''))"
 JAC = lambda a, b: f"(case when len({a}) = 0 or len({b}) = 0 then 0.0 else len(list_intersect({a}, {b}))::double / len(list_distinct(list_concat({a}, {b}))) end)"
 
@@ -68,19 +68,19 @@ def vec_entities(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def label_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of a source and a target label of one language that share their first word: each meets the block's first of the other side."""
-    e = doc_entities(spark, sf).withColumn("w", F.substring_index("label", " ", 1))
-    s, t = e.where("side = 0"), e.where("side = 1")
-    least = lambda df, name: df.groupBy("etype", "w").agg(F.min(F.struct("label", "uri")).alias(name))
-    one = s.join(least(t, "t"), ["etype", "w"]).select("etype", F.col("label").alias("a"), F.col("t.label").alias("b"))
-    two = t.join(least(s, "s"), ["etype", "w"]).select("etype", F.col("s.label").alias("a"), F.col("label").alias("b"))
-    return one.unionByName(two).distinct()
+    """All pairs of a source and a target label of one language that share one of the eight rarest words of both."""
+    e = doc_entities(spark, sf).select("etype", "side", "label").distinct()
+    said = e.withColumn("token", F.explode(F.array_distinct(L.words(F.col("label")))))
+    rarity = said.groupBy("etype", "token").agg(F.count(F.lit(1)).alias("df"))
+    place = F.row_number().over(Window.partitionBy("etype", "side", "label").orderBy("df", "token"))
+    rare = said.join(rarity, ["etype", "token"]).withColumn("rn", place).where("rn <= 8")
+    s, t = (rare.where(f"side = {i}").select("etype", "token", F.col("label").alias(name)) for i, name in enumerate("ab"))
+    return s.join(t, ["etype", "token"]).select("etype", "a", "b").distinct()
 
 
-PAIR_SQL = f"""{ENT_SQL}, w as (select *, string_split(label, ' ')[1] as w from e),
-lt as (select etype, w, min(label) as l from w where side = 1 group by all), ls as (select etype, w, min(label) as l from w where side = 0 group by all),
-pairs as (select w.etype, label as a, l as b from w join lt on w.etype = lt.etype and w.w = lt.w where side = 0
-  union select w.etype, l as a, label as b from w join ls on w.etype = ls.etype and w.w = ls.w where side = 1)"""
+PAIR_SQL = f"""{ENT_SQL}, said as (select etype, side, label, unnest({WORDS("label")}) as token from (select distinct etype, side, label from e)),
+rare as (select * from (select *, row_number() over (partition by etype, side, label order by df, token) as rn from said join (select etype, token, count(*) as df from said group by all) using (etype, token)) where rn <= 8),
+pairs as (select distinct s.etype, s.label as a, t.label as b from rare s join rare t using (etype, token) where s.side = 0 and t.side = 1)"""
 
 DOT = "list_dot_product(s.embedding::double[], t.embedding::double[])"
 VEC_SQL = """v as (select vec_id::varchar as uri, label::varchar as etype, embedding, vec_id % 2 as side from embeddings)"""
@@ -110,7 +110,7 @@ def triples(spark: SparkSession, sf: str) -> DataFrame:
         t(n, nation, RDFS + "subClassOf", F.concat(F.lit("http://ex.org/region#"), F.col("n_regionkey").cast("string")), "iri"),
         t(r, region, RDF + "type", F.lit(OWL + "Class"), "iri"), t(r, region, RDF + "type", F.lit(SKOS + "Concept"), "iri"), t(r, region, SKOS + "prefLabel", F.col("r_name"), "literal", "es"),
         t(s, supplier, RDFS + "label", F.col("s_name"), "literal"), t(s, supplier, SKOS + "altLabel", F.concat(F.lit("alias "), F.col("s_name")), "literal", "de"),
-        t(d, doc, SKOS + "prefLabel", F.substring("text", 1, 40), "literal", F.col("lang")), t(d, doc, RDFS + "label", F.substring("text", 5, 40), "literal", "en"),
+        t(d, doc, SKOS + "prefLabel", F.col("text"), "literal", F.col("lang")), t(d, doc, RDFS + "label", F.expr("substring(text, 5)"), "literal", "en"),
         t(d.where("doc_id % 3 = 0"), doc, RDF + "type", F.lit(OWL + "ObjectProperty"), "iri"), t(d.where("doc_id % 3 = 1"), doc, RDF + "type", F.lit(OWL + "DatatypeProperty"), "iri"),
         t(d, doc, SKOS + "broader", F.concat(F.lit("http://ex.org/source#"), F.col("source")), "iri"),
         t(d.where("doc_id % 5 = 0"), F.concat(F.lit(OWL), F.col("doc_id").cast("string")), RDFS + "label", F.lit("reserved"), "literal", "en"),
@@ -131,7 +131,7 @@ TRIPLES_SQL = "triples as (" + " union all ".join([
     _t("region", "'http://ex.org/region#' || r_regionkey", RDF + "type", f"'{OWL}Class'", "iri"), _t("region", "'http://ex.org/region#' || r_regionkey", RDF + "type", f"'{SKOS}Concept'", "iri"),
     _t("region", "'http://ex.org/region#' || r_regionkey", SKOS + "prefLabel", "r_name", "literal", "'es'"),
     _t("supplier", "'http://ex.org/supplier#' || s_suppkey", RDFS + "label", "s_name", "literal"), _t("supplier", "'http://ex.org/supplier#' || s_suppkey", SKOS + "altLabel", "'alias ' || s_name", "literal", "'de'"),
-    _t("documents", "'http://ex.org/doc#' || doc_id", SKOS + "prefLabel", "substr(text, 1, 40)", "literal", "lang"), _t("documents", "'http://ex.org/doc#' || doc_id", RDFS + "label", "substr(text, 5, 40)", "literal", "'en'"),
+    _t("documents", "'http://ex.org/doc#' || doc_id", SKOS + "prefLabel", "text", "literal", "lang"), _t("documents", "'http://ex.org/doc#' || doc_id", RDFS + "label", "substr(text, 5)", "literal", "'en'"),
     _t("documents where doc_id % 3 = 0", "'http://ex.org/doc#' || doc_id", RDF + "type", f"'{OWL}ObjectProperty'", "iri"), _t("documents where doc_id % 3 = 1", "'http://ex.org/doc#' || doc_id", RDF + "type", f"'{OWL}DatatypeProperty'", "iri"),
     _t("documents", "'http://ex.org/doc#' || doc_id", SKOS + "broader", "'http://ex.org/source#' || source", "iri"),
     _t("documents where doc_id % 5 = 0", f"'{OWL}' || doc_id", RDFS + "label", "'reserved'", "literal", "'en'"),
@@ -299,10 +299,41 @@ GRAMS = lambda x, n: f"(case when length({x}) < {n} then []::varchar[] else list
 NGRAM_SQL = f"(case when a = b then 1.0 when least(length(a), length(b)) >= 3 then {JAC(GRAMS('a', 3), GRAMS('b', 3))} else {JAC(GRAMS('a', 2), GRAMS('b', 2))} end)"
 RAW_LEV = "(case when abs(length(a) - length(b)) > 0.4 * greatest(length(a), length(b)) then 0.0 else 1.0 - levenshtein(a, b)::double / greatest(length(a), length(b)) end)"
 LEV_SQL = f"(case when a = b then 1.0 when a = '' or b = '' or greatest(length(a), length(b)) > 2.5 * least(length(a), length(b)) then 0.0 when least(length(a), length(b)) <= 3 and {RAW_LEV} < 1.0 then {RAW_LEV} * 0.4 when least(length(a), length(b)) between 4 and 5 and {RAW_LEV} < 0.88 then {RAW_LEV} * 0.7 else {RAW_LEV} end)"
-TOKSET_SQL = f"(case when a = b then 1.0 else {JAC(TOK('a'), TOK('b'))} end)"
+TOKSET_SQL = JAC(TOK("a"), TOK("b"))
 SEM_SQL = f"(case when len({WORDS('a')}) = 0 or len({WORDS('b')}) = 0 then 0.0 else len(list_intersect({WORDS('a')}, {WORDS('b')}))::double / sqrt(len({WORDS('a')})::double * len({WORDS('b')})) end)"
 
 
+# The longest common substring of l and r, earliest in l, taken out of both: six times. Starts that no pair of letters
+# shares are passed over, and each start's longest run is looked for among the lengths that beat none.
+_RUNS = "list_filter(list_transform(range(1, length(l)), lambda i: {'n': list_max(list_filter(range(1, length(l) - i + 2), lambda n: contains(r, substr(l, i, n)))), 'i': -i}), lambda x: x.n >= 2)"
+
+
+def isub_sql(source: str) -> str:
+    """CTEs that end in isub(a, b, isub) over the distinct a and b of ``source``."""
+    fits = "least(a, b) <> greatest(a, b) and least(length(a), length(b)) > 0 and greatest(length(a), length(b)) <= 2.5 * least(length(a), length(b))"
+    out = f"is0 as (select distinct a, b, least(a, b) as l, greatest(a, b) as r, 0 as common from {source} where {fits})"
+    for k in range(6):
+        out += f""", ib{k} as (select *, list_max({_RUNS}) as m from is{k}),
+is{k + 1} as (select a, b, case when m is null then l else substr(l, 1, -m.i - 1) || substr(l, -m.i + m.n) end as l,
+  case when m is null then r else substr(r, 1, position(substr(l, -m.i, m.n) in r) - 1) || substr(r, position(substr(l, -m.i, m.n) in r) + m.n) end as r, common + coalesce(m.n, 0) as common from ib{k})"""
+    whole = "(length(a) + length(b))"
+    score = f"2.0 * common / {whole} - 0.3::double * (length(l)::double / length(least(a, b))) * (length(r)::double / length(greatest(a, b)))"
+    return out + f""", iscore as (select a as xa, b as xb, case when common = 0 then 0.0 else least(1.0, greatest(0.0, {score})) end::double as x from is6),
+isub as (select distinct p.a as a, p.b as b, case when p.a = p.b then 1.0 else coalesce(x, 0.0) end::double as isub from {source} p left join iscore on p.a = xa and p.b = xb)"""
+
+
+# Rows of the table of longest common subsequences, a letter of b at a time; a row is the running maximum of what each
+# letter of a gives.
+_LCS = "list_reduce(list_prepend(list_transform(range(0, length(a) + 1), lambda z: 0), list_transform(string_split(b, ''), lambda c: list_transform(range(0, length(a) + 1), lambda j: case when j > 0 and substr(a, j, 1) = c then 1 else 0 end))), lambda row, hit: list_reduce(list_prepend([0], list_transform(range(2, length(a) + 2), lambda j: [greatest(row[j], case when hit[j] = 1 then row[j - 1] + 1 else 0 end)])), lambda x, y: list_append(x, greatest(x[-1], y[1]))))"
+_RAW_INDEL = f"(2.0 * list_last({_LCS}) / (length(a) + length(b)))"
+
+
+def indel_sql(source: str) -> str:
+    """A CTE indel(a, b, indel) over the distinct a and b of ``source``."""
+    return f"""raw as (select distinct a, b, case when a = b then 1.0 when a = '' or b = '' or greatest(length(a), length(b)) > 2.5 * least(length(a), length(b)) then 0.0 else {_RAW_INDEL} end::double as x from {source}),
+indel as (select a, b, case when x = 0 or x = 1 then x when least(length(a), length(b)) <= 3 then x * 0.4::double when least(length(a), length(b)) <= 5 and x < 0.88 then x * 0.7::double else x end as indel from raw)"""
+
+
 def _pair_query(name: str, column: str, expression, sql: str | None):
     @query(name, f"with {PAIR_SQL} select etype, a, b, round({sql}, 6) as {column} from pairs" if sql else None)
     def run(spark, sf):
@@ -313,8 +344,18 @@ def _pair_query(name: str, column: str, expression, sql: str | None):
 
 _pair_query("q20_ngram_similarity", "ngram", S.ngram_similarity, NGRAM_SQL)
 _pair_query("q21_levenshtein_damped", "lev", S.levenshtein_similarity, LEV_SQL)
-_pair_query("q22_indel_ratio", "indel", S.indel_similarity, None)
-_pair_query("q23_isub", "isub", S.isub_similarity, None)
+
+
+@query("q22_indel_ratio", f"with {PAIR_SQL}, {indel_sql('pairs')} select etype, a, b, round(indel, 6) as indel from pairs join indel using (a, b)")
+def q22(spark, sf):
+    return label_pairs(spark, sf).select("etype", "a", "b", F.round(S.indel_similarity(F.col("a"), F.col("b")), 6).alias("indel"))
+
+
+@query("q23_isub", f"with {PAIR_SQL}, {isub_sql('pairs')} select etype, a, b, round(isub, 6) as isub from pairs join isub using (a, b)")
+def q23(spark, sf):
+    return label_pairs(spark, sf).select("etype", "a", "b", F.round(S.isub_similarity(F.col("a"), F.col("b")), 6).alias("isub"))
+
+
 _pair_query("q24_token_set_jaccard", "tokset", S.token_set_similarity, TOKSET_SQL)
 
 
@@ -332,7 +373,7 @@ def q25(spark, sf):
     return x.select("a", "b", S.acronym_bonus(F.col("b"), F.col("a")).alias("bonus"))
 
 
-IDF_SQL = f"""tk as (select etype, {TOK("label")} as t from e), tn as (select etype, count(*) as n from tk where len(t) > 0 group by etype),
+IDF_SQL = f"""tk as (select etype, {WORDS("label")} as t from e), tn as (select etype, count(*) as n from tk where len(t) > 0 group by etype),
 idf as (select etype, token, ln((n + 1.0) / (count(*) + 1.0)) + 1.0 as idf from (select etype, unnest(t) as token from tk) join tn using (etype) group by etype, token, n)"""
 
 
@@ -341,7 +382,7 @@ def q26(spark, sf):
     return resolve.idf_weights(doc_entities(spark, sf)).withColumn("idf", F.round("idf", 6))
 
 
-WJAC_SQL = f"""pt as (select etype, a, b, {TOK("a")} as ta, {TOK("b")} as tb from pairs),
+WJAC_SQL = f"""pt as (select etype, a, b, {WORDS("a")} as ta, {WORDS("b")} as tb from pairs),
 pu as (select etype, a, b, ta, tb, unnest(list_distinct(list_concat(ta, tb))) as token from pt),
 wj as (select etype, a, b, sum(case when list_contains(ta, token) and list_contains(tb, token) then coalesce(idf, 1.0) else 0 end) / sum(coalesce(idf, 1.0)) as wjaccard from pu left join idf using (etype, token) group by all)"""
 WJAC_SQL = WJAC_SQL.replace("group by all", "group by etype, a, b")
@@ -363,19 +404,27 @@ def _sem(a, b):
     return V.token_cosine(F.array_distinct(L.words(a)), F.array_distinct(L.words(b)))
 
 
-@query("q29_combined_score", f"with {PAIR_SQL} select etype, a, b, round(case when a = b and length(a) > 2 then 1.0 else least(1.0, greatest(0.0, 0.6 * {SEM_SQL} + 0.4 * (0.3 * {NGRAM_SQL} + 0.35 * {LEV_SQL} + 0.35 * 0.5) + 0.0)) end, 6) as combined from pairs")
+ACRONYM_SQL = f"""ao as (select distinct a, b, lower(case when length(a) <= length(b) then a else b end) as s, lower(case when length(a) <= length(b) then b else a end) as l from pairs),
+ai as (select *, replace(s, ' ', '') as sh, list_filter(string_split(l, ' '), lambda w: w <> '') as every, list_filter(string_split(l, ' '), lambda w: w <> '' and not list_contains({STOP_SQL}, w)) as telling from ao),
+aj as (select *, array_to_string(list_transform(case when len(telling) >= 2 then telling else every end, lambda w: substr(w, 1, 1)), '') as ini from ai),
+acronym as (select a, b, case when length(sh) not between 2 and 8 or not contains(l, ' ') then 0.0 when sh = ini then 1.0 when length(sh) >= 3 and starts_with(ini, sh) then 0.8 else 0.0 end::double as acronym from aj)"""
+KERNELS_SQL = f"{PAIR_SQL}, {isub_sql('pairs')}, {indel_sql('pairs')}, {ACRONYM_SQL}"
+
+
+@query("q29_combined_score", f"with {KERNELS_SQL} select etype, a, b, round(case when a = b and length(a) > 2 then 1.0 else least(1.0, greatest(0.0, 0.6 * {SEM_SQL} + 0.4 * (0.3 * {NGRAM_SQL} + 0.35 * indel + 0.35 * isub) + 0.1 * acronym)) end, 6) as combined from pairs join isub using (a, b) join indel using (a, b) join acronym using (a, b)")
 def q29(spark, sf):
+    """Labels have no parents here: the structural part is the acronym's."""
     a, b = F.col("a"), F.col("b")
-    score = S.combined_score((a == b) & (F.length(a) > 2), _sem(a, b), S.ngram_similarity(a, b), S.levenshtein_similarity(a, b), F.lit(0.5), F.lit(0.0))
+    score = S.combined_score((a == b) & (F.length(a) > 2), _sem(a, b), S.ngram_similarity(a, b), S.indel_similarity(a, b), S.isub_similarity(a, b), 0.1 * S.acronym_bonus(a, b))
     return label_pairs(spark, sf).select("etype", "a", "b", F.round(score, 6).alias("combined"))
 
 
-@query("q30_lexical_gate", f"with {PAIR_SQL}, {IDF_SQL}, {WJAC_SQL} select pairs.etype, a, b, ((a = b and length(a) > 2) or {SEM_SQL} >= 0.88 or greatest({LEV_SQL}, 0.0, {TOKSET_SQL}) >= 0.45 or coalesce(wjaccard, 0) >= 0.25) as passed from pairs left join wj using (etype, a, b)")
+@query("q30_lexical_gate", f"with {KERNELS_SQL}, {IDF_SQL}, {WJAC_SQL} select pairs.etype, a, b, ((a = b and length(a) > 2) or {SEM_SQL} >= 0.88 or greatest(indel, isub, {TOKSET_SQL}) >= 0.45 or coalesce(wjaccard, 0) >= 0.25 or acronym >= 0.8) as passed from pairs left join wj using (etype, a, b) join isub using (a, b) join indel using (a, b) join acronym using (a, b)")
 def q30(spark, sf):
     pairs = label_pairs(spark, sf)
     wj = resolve.weighted_jaccard(pairs, resolve.idf_weights(doc_entities(spark, sf)))
     a, b = F.col("a"), F.col("b")
-    gate = resolve.lexical_gate((a == b) & (F.length(a) > 2), _sem(a, b), S.levenshtein_similarity(a, b), F.lit(0.0), S.token_set_similarity(a, b), F.coalesce("wjaccard", F.lit(0.0)), F.lit(0.0))
+    gate = resolve.lexical_gate((a == b) & (F.length(a) > 2), _sem(a, b), S.indel_similarity(a, b), S.isub_similarity(a, b), S.token_set_similarity(a, b), F.coalesce("wjaccard", F.lit(0.0)), S.acronym_bonus(a, b))
     return pairs.join(wj, ["etype", "a", "b"], "left").select("etype", "a", "b", gate.alias("passed"))
 
 
@@ -406,7 +455,10 @@ def q32(spark, sf):
     return A.bucket_sizes(s, t).select("etype", "n_src", "n_tgt", k(1.0).alias("k"), k(0.92).alias("k_relaxed"))
 
 
-@query("q33_ambiguity")
+@query("q33_ambiguity", f"""with {VEC_SQL}, t as (select * from v where side = 1), picked as (select * from (select *, row_number() over (partition by etype order by md5(uri), uri) as r from t) where r <= 64),
+p as (select s.etype, s.uri as source, {DOT} as score, t.uri as target from picked s join t using (etype)), r as (select *, row_number() over (partition by etype, source order by score desc, target) as rank from p),
+g as (select etype, source, max(score) - min(score) as gap from r where rank <= 5 group by all)
+select etype, round(case when count(*) < 8 then 0.0 else 1.0 - least(1.0, avg(greatest(0.0, least(2.0, gap))) / 0.5) end, 4) as ambiguity from g group by etype""")
 def q33(spark, sf):
     return domain.ambiguity(vec_entities(spark, sf)[1]).withColumn("ambiguity", F.round("ambiguity", 4))
 
@@ -426,9 +478,19 @@ def q35(spark, sf):
     return A.align(*sides(doc_entities(spark, sf)), Settings(medical=False))
 
 
-@query("q36_align_v1")
+# Each source has one candidate, so the walk by score gives each target to its best source.
+V1_SQL = f"""last as (select label, max(uri) as target, arg_max(etype, uri) as etype from e where side = 1 group by label),
+lock as (select uri as source, target, e.etype from e join last on e.label = last.label and e.etype = last.etype where side = 0),
+s as (select * from e where side = 0 and uri not in (select source from lock)), t as (select * from e where side = 1 and uri not in (select target from lock)),
+p as (select s.etype, s.uri as source, t.uri as target, s.label as a, t.label as b, {SEM_SQL.replace("string_split(a,", "string_split(s.label,").replace("string_split(b,", "string_split(t.label,")} as score from s join t on s.etype = t.etype),
+best as (select * from (select *, row_number() over (partition by source order by score desc, target) as n from p where score >= 0.78) where n = 1),
+kept as (select * from best where score >= 0.8 and abs(length(a) - length(b)) <= 0.6 * greatest(length(a), length(b))),
+won as (select * from (select *, row_number() over (partition by target order by score desc, source) as w from kept) where w = 1)"""
+
+
+@query("q36_align_v1", f"with {ENT_SQL}, {V1_SQL} select source, target, etype, 1.0::double as score from lock union all select source, target, etype, round(score, 6) from won")
 def q36(spark, sf):
-    return A.align_v1(*sides(doc_entities(spark, sf)))
+    return A.align_v1(*sides(doc_entities(spark, sf))).withColumn("score", F.round("score", 6))
 
 
 @query("q37_predicate_projection", f"with {TYPED_SQL}, n as (select subject as uri, {NAME_SQL} as etype from ty) select uri, case when contains(etype, 'Class') then '{OWL}equivalentClass' when contains(etype, 'Property') then '{OWL}equivalentProperty' else '{OWL}sameAs' end as predicate, case when contains(etype, 'Concept') then '{SKOS}exactMatch' when contains(etype, 'Class') then '{OWL}equivalentClass' when contains(etype, 'Property') then '{OWL}equivalentProperty' else '{OWL}sameAs' end as predicate_v1 from n")
@@ -554,11 +616,24 @@ def q48(spark, sf):
     return domain.medical_ratios(*sides(doc_entities(spark, sf)))
 
 
-@query("q49_entity_limit")
+RANK_V1_SQL = f"case when lang in ('en','de','fr') and predicate in ('{SKOS}prefLabel', '{RDFS}label') then (case lang when 'en' then 0 when 'de' then 2 else 4 end) + (case predicate when '{SKOS}prefLabel' then 0 else 1 end) when predicate = '{RDFS}label' then 6 when predicate = '{SKOS}prefLabel' then 7 end"
+LABEL_V1_SQL = r"array_to_string(list_filter(regexp_split_to_array(lower(translate(regexp_replace({0}, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '_-', '  ')), '\s+'), lambda w: w <> '')[1:15], ' ')"
+ENTITIES_V1_SQL = f"""{TRIPLES_SQL}, ty as (select subject, min(case when predicate <> '{RDF}type' then null when object = '{SKOS}Concept' then 0 when object = '{OWL}Class' then 1 when object in ('{OWL}ObjectProperty', '{OWL}DatatypeProperty') then 2 end) as k from triples group by subject),
+lb as (select subject, object as text, row_number() over (partition by subject order by {RANK_V1_SQL}, object) as rn from triples where ({RANK_V1_SQL}) is not null),
+x as (select ty.subject as uri, {LABEL_V1_SQL.format("coalesce(lb.text, regexp_extract(ty.subject, '[^/#]*$'))")} as label, {NAME_SQL} as etype from ty left join lb on lb.subject = ty.subject and rn = 1 where not starts_with(ty.subject, '{OWL}'))"""
+GROUP_SQL = f"case etype when '{OWL}Class' then 0 when '{SKOS}Concept' then 1 when '{OWL}ObjectProperty' then 2 else 3 end"
+
+
+@query("q49_entity_limit", f"with {ENTITIES_V1_SQL} select * from x where label <> '' order by {GROUP_SQL}, uri limit 300")
 def q49(spark, sf):
     return entities.entities_v1(triples(spark, sf), 300).drop("parents")
 
 
+@query("q49b_entities_v1", f"with {ENTITIES_V1_SQL} select * from x where label <> ''")
+def q49b(spark, sf):
+    return entities.entities_v1(triples(spark, sf)).drop("parents")
+
+
 CELLS_SQL = "c as (select 'c' || n_nationkey as subject, 'e1' as predicate, n_name as object from nation where n_nationkey % 2 = 0 union all select 'c' || n_nationkey, 'e2', n_name || 'x' from nation where n_nationkey % 3 = 0)"
 
 
@@ -582,10 +657,29 @@ def q52(spark, sf):
     return hit.select("label", F.lit(True).alias("cached")).unionByName(miss.select("label", F.lit(False).alias("cached")))
 
 
-@query("q53_ivf_knn")
+RECALL_SQL = "select distinct s.label::varchar as etype, true as enough from embeddings s join embeddings t on s.label = t.label and s.vec_id % 2 = 0 and t.vec_id % 2 = 1"
+
+
+def _recall(s, t, found):
+    """Whether at least 0.9 of each type's three nearest are found: exact search over all rows."""
+    exact = knn.nearest(s, t, 3).select("etype", "source", "target")
+    met = exact.join(found.select("source", "target", F.lit(1).alias("hit")), ["source", "target"], "left")
+    return met.groupBy("etype").agg((F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("enough"))
+
+
+@query("q53_ivf_knn", RECALL_SQL)
 def q53(spark, sf):
+    """Probes are those that a sample of sources asks for; the recall is that of all sources, type by type."""
+    s, t = vec_entities(spark, sf)
+    cells = knn.centroids(t)
+    return _recall(s, t, knn.ivf_nearest(s, t, 3, cells, knn.probes_for(s, t, 3, cells, 0.95)[0]))
+
+
+@query("q53b_ivfpq_knn", RECALL_SQL)
+def q53b(spark, sf):
     s, t = vec_entities(spark, sf)
-    return knn.ivf_nearest(s, t, 3, knn.centroids(t, 16), 12).withColumn("score", F.round("score", 4))
+    cells = knn.centroids(t)
+    return _recall(s, t, knn.ivfpq_nearest(s, t, 3, cells, knn.codebooks(t), knn.probes_for(s, t, 3, cells, 0.95)[0], more=16))
 
 
 @query("q54_entities", f"with {TYPED_SQL}, {LABEL_SQL}, x as (select ty.subject as uri, {norm_sql('lb.text')} as label, {NAME_SQL} as etype from ty join lb on lb.subject = ty.subject and rn = 1 where not starts_with(ty.subject, '{OWL}')) select * from x where label <> ''")

@@ -2,14 +2,18 @@
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import product
 from pathlib import Path
 
-# Suffixes in order of preference, the tasks known by name, and usual places of references.
+# Suffixes in order of preference, the tasks known by name, and where references lie under which names.
 ONTOLOGY_SUFFIXES = [".owl", ".rdf", ".ttl", ".xml"]
 BIO_TASKS = ["ncit-doid", "snomed-fma", "snomed-ncit"]
-REFERENCE_FOLDERS = ["", "references", "reference", "refs", "alignments", "gold"]
-REFERENCE_NAMES = ["reference", "refalign", "alignment", "gold"]
-KG_SUFFIXES = [".ttl", ".rdf", ".xml", ".nt", ".tsv", ".csv"]
+TABLE_FOLDERS = ["", "ontologies", "refs_equiv", "refs", "references", "reference"]
+TABLE_SUFFIXES = [".tsv", ".csv"]
+TABLE_NAMES = ["train.tsv", "test.tsv", "full.tsv", "reference.tsv"]
+KG_FOLDERS = ["", "refs_equiv", "refs", "references", "reference", "ontologies"]
+KG_SUFFIXES = [".ttl", ".rdf", ".owl", ".xml", ".tsv", ".csv"]
+KG_NAMES = ["onto1-onto2.ttl", "onto1-onto2.rdf", "ref-align.rdf", "reference.rdf", "reference.ttl", "reference.tsv", "train.tsv", "test.tsv", "full.tsv"]
 
 
 @dataclass(frozen=True)
@@ -23,67 +27,72 @@ class Task:
     reference: Path | None
 
 
-def find_ontology(folder: Path, name: str) -> Path | None:
-    """The ontology of a name, by the order of suffixes."""
-    return next((p for s in ONTOLOGY_SUFFIXES if (p := folder / f"{name}{s}").exists()), None)
+def _first(paths: Iterator[Path]) -> Path | None:
+    return next((p for p in paths if p.is_file()), None)
 
 
-def _reversed(stem: str) -> str:
-    first, _, second = stem.partition("-")
-    return f"{second}-{first}" if second else stem
+def find_ontology(folder: Path, name: str) -> Path | None:
+    """The ontology of a name, by the order of suffixes."""
+    return _first(folder / f"{name}{s}" for s in ONTOLOGY_SUFFIXES)
 
 
-def find_reference(track: Path, stem: str, suffixes: list[str], generic: bool = True) -> Path | None:
-    """A reference of a task's stem or its reverse in the usual folders, else one with a generic name."""
-    for names in ([stem, _reversed(stem)], REFERENCE_NAMES if generic else []):
-        for name in names:
-            for folder in REFERENCE_FOLDERS:
-                for suffix in suffixes:
-                    if (p := track / folder / f"{name}{suffix}").exists():
-                        return p
-    return None
+def _both_ways(stem: str) -> list[str]:
+    a, dash, b = stem.partition("-")
+    return [stem, f"{b}-{a}"] if dash else [stem]
 
 
 def find_table_reference(track: Path, stem: str) -> Path | None:
-    return find_reference(track, stem, [".tsv", ".csv"])
+    """A table under a task's stem or its reverse in any of the usual folders, else one under a general name."""
+    named = (track / folder / f"{name}{suffix}" for name, suffix, folder in product(_both_ways(stem), TABLE_SUFFIXES, TABLE_FOLDERS))
+    general = (track / folder / name for folder, name in product(TABLE_FOLDERS, TABLE_NAMES))
+    return _first(named) or _first(general)
 
 
 def find_kg_reference(track: Path, stem: str) -> Path | None:
-    return next((p for base in (track, track.parent, track / "knowledge-graph") if (p := find_reference(base, stem, KG_SUFFIXES))), None)
+    """As find_table_reference(), in more formats, and also below folders that are named like the task."""
+    folders = [track / base / folder for base, folder in product(["", *_both_ways(stem)], KG_FOLDERS)]
+    named = (folder / f"{name}{suffix}" for folder, name, suffix in product(folders, _both_ways(stem), KG_SUFFIXES))
+    general = (folder / name for folder, name in product(folders, KG_NAMES))
+    return _first(named) or _first(general)
+
+
+def _files(track: Path, suffixes: list[str]) -> list[Path]:
+    return sorted(p for p in track.iterdir() if p.is_file() and p.suffix.lower() in suffixes)
 
 
 def _by_references(track: Path) -> Iterator[Task]:
-    folder = track / "ontologies"
-    for ref in sorted((track / "references").glob("*.ttl")) if (track / "references").is_dir() else sorted(track.glob("*.ttl")):
-        a, _, b = ref.stem.partition("-")
-        s, t = find_ontology(folder, a), find_ontology(folder, b)
-        if b and s and t:
-            yield Task(track.name, ref.stem, s, t, ref)
+    """Turtle references beside a folder of ontologies. Names of two parts, or one that has human-mouse in it."""
+    for ref in sorted([*track.glob("*.ttl"), *track.glob("references/*.ttl")], key=lambda p: p.name):
+        parts = ref.stem.split("-")
+        if len(parts) != 2:
+            parts = ["human", "mouse"] if "human-mouse" in ref.stem else []
+        found = [find_ontology(track / "ontologies", name) for name in parts]
+        if parts and all(found):
+            yield Task(track.name, ref.stem, *found, ref)
 
 
 def _by_siblings(track: Path) -> Iterator[Task]:
-    for ref in sorted(p for p in track.iterdir() if p.is_file() and "-" in p.stem):
-        a, _, b = ref.stem.partition("-")
-        s, t = find_ontology(track, a), find_ontology(track, b)
-        if s and t:
-            yield Task(track.name, ref.stem, s, t, ref)
+    """A reference a-b among the ontologies a and b."""
+    files = _files(track, ONTOLOGY_SUFFIXES)
+    stems = {p.stem for p in files}
+    for ref in files:
+        a, dash, b = ref.stem.partition("-")
+        if dash and {a, b} <= stems:
+            yield Task(track.name, ref.stem, find_ontology(track, a), find_ontology(track, b), ref)
 
 
 def _by_name(track: Path) -> Iterator[Task]:
     for stem in BIO_TASKS:
-        a, _, b = stem.partition("-")
-        for folder in (track, track / "ontologies", track / stem):
-            s, t = find_ontology(folder, a), find_ontology(folder, b)
-            if s and t:
-                yield Task(track.name, stem, s, t, find_reference(track, stem, [".rdf", ".tsv", ".csv"], generic=False))
-                break
+        found = [find_ontology(track, name) for name in stem.split("-")]
+        if all(found):
+            yield Task(track.name, stem, *found, find_table_reference(track, stem))
 
 
 def _by_pair(track: Path) -> Iterator[Task]:
-    files = sorted(p for p in track.iterdir() if p.suffix.lower() in ONTOLOGY_SUFFIXES and not any(p.stem.startswith(n) for n in REFERENCE_NAMES))
+    files = _files(track, ONTOLOGY_SUFFIXES)
     if len(files) == 2:
         stem = f"{files[0].stem}-{files[1].stem}"
-        yield Task(track.name, stem, files[0], files[1], find_table_reference(track, stem) or find_reference(track, stem, KG_SUFFIXES))
+        yield Task(track.name, stem, *files, find_table_reference(track, stem))
 
 
 def tasks(base: Path, v1: bool = False) -> Iterator[Task]:

@@ -6,7 +6,7 @@ Readers give source, predicate, target as stated; canonical() makes them undirec
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ontoloom.config import OWL, RDF, RDFS, SKOS
+from ontoloom.config import OWL, RDF, RDFS
 from ontoloom.sources.rdf import read_triples
 
 # Namespaces of alignment cells, with and without the mark.
@@ -120,5 +120,3 @@ def read_directed(spark: SparkSession, path: str) -> DataFrame:
             return pairs
     return pairs
 
-
-SKOS_MATCH = SKOS + "exactMatch"

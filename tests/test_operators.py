@@ -47,11 +47,58 @@ def test_token_neighbours_equal_brute_force(spark):
         assert got == want
 
 
-def test_ivf_recall(spark):
-    s, t = vectors(spark, 200, 1), vectors(spark, 400, 2)
-    exact = {(r.source, r.target) for r in knn.nearest(s, t, 3).collect()}
-    near = {(r.source, r.target) for r in knn.ivf_nearest(s, t, 3, knn.centroids(t, 12), 9).collect()}
-    assert len(exact & near) >= 0.9 * len(exact)
+@pytest.mark.parametrize("n", [40, 400, 4000])
+def test_ivf_recall(spark, n):
+    """At the probes that a sample asks for, held against all sources; and with codes in place of vectors."""
+    s, t = vectors(spark, n // 2, 1), vectors(spark, n, 2)
+    exact = {(r.source, r.target, round(r.score, 5)) for r in knn.nearest(s, t, 3).collect()}
+    cells = knn.centroids(t)
+    probes, measured = knn.probes_for(s, t, 3, cells, 0.95)
+    k = spark.createDataFrame([("t", 3), ("other", 3)], "etype string, k int")
+    for found in (knn.ivf_nearest(s, t, k, cells, probes), knn.ivfpq_nearest(s, t, 3, cells, knn.codebooks(t, 16), probes)):
+        near = {(r.source, r.target, round(r.score, 5)) for r in found.collect()}
+        assert len(near) == len(exact) and len(exact & near) >= 0.9 * len(exact) and measured >= 0.95
+
+
+def test_codebooks_divide_the_vector(spark):
+    assert knn.codebooks(vectors(spark, 40, 1), 5).shape == (4, 40, 2)
+
+
+def test_best_columns_with_ties():
+    scores = np.random.default_rng(1).integers(0, 4, (50, 30)).astype(float)
+    for k in (1, 2, 7, 30, 40):
+        want = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        assert (knn._top(scores, min(k, 30)) == want).all()
+
+
+def test_ambiguity_searches_all_targets(spark):
+    """Two far clusters of close vectors: the sample's five nearest are among all of a type, not in the sample alone."""
+    rows = [(f"u{i}", "t", [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in range(300)] + [(f"f{i}", "few", [1.0, 0.0]) for i in range(7)]
+    df = spark.createDataFrame(rows, "uri string, etype string, vec array<double>")
+    assert {r.etype: r.ambiguity for r in domain.ambiguity(df).collect()} == {"t": 1.0, "few": 0.0}
+    turned = spark.createDataFrame([(f"u{i}", "t", np.eye(40)[i].tolist()) for i in range(40)], "uri string, etype string, vec array<double>")
+    assert domain.ambiguity(turned).first().ambiguity == 0.0
+
+
+def test_words_that_say_nothing_count_for_weights_but_not_for_sets(spark):
+    from ontoloom.functions import similarity as S
+
+    pairs = spark.createDataFrame([("c", "the of", "the of"), ("c", "the heart", "the lung"), ("c", "", "the")], "etype string, a string, b string")
+    sets = [r[0] for r in pairs.select(S.token_set_similarity(F.col("a"), F.col("b"))).collect()]
+    assert sets == [0.0, 0.0, 0.0]
+    idf = resolve.idf_weights(spark.createDataFrame([("c", "the heart"), ("c", "the lung"), ("c", "")], "etype string, label string"))
+    assert {r.token: r.idf for r in idf.collect()} == {"the": 1.0, "heart": pytest.approx(1.405465), "lung": pytest.approx(1.405465)}
+    got = {(r.a, r.b): r.wjaccard for r in resolve.weighted_jaccard(pairs, idf).collect()}
+    assert got["the of", "the of"] == 1.0 and got["the heart", "the lung"] == pytest.approx(1 / (1 + 2 * 1.405465)) and got["", "the"] == 0.0
+
+
+def test_reverse_check_tests_the_discounted_score(spark):
+    """By ivf a pair that the reverse search ranks low goes only if what hubs leave of its score is high."""
+    names = ["alpha beta", "gamma delta", "epsilon zeta"]
+    s, t = ([(f"{x}{i}", n, CLASS) for i, n in enumerate(names)] for x in "st")
+    v = embed.encode(entities(spark, s).select("label"))
+    rows = A.align(entities(spark, s), entities(spark, t), Settings(medical=False, search="ivf", k=1), v).collect()
+    assert {(r.source, r.target) for r in rows} == {(f"s{i}", f"t{i}") for i in range(3)}
 
 
 def test_greedy_is_the_sequential_walk(spark):

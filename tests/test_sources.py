@@ -1,8 +1,7 @@
-from pathlib import Path
-
 import pytest
 
 from ontoloom.config import CLASS, CONCEPT, INDIVIDUAL, OBJECT_PROPERTY, OWL, RDF, RDFS, SKOS, Settings
+from ontoloom.operators import embed
 from ontoloom.operators import entities as E
 from ontoloom.plans import run
 from ontoloom.sources import catalog, gold, rdf, sinks
@@ -120,6 +119,19 @@ def test_tasks_end_to_end(spark, tmp_path):
     assert (tmp_path / "out" / "report.csv").read_text().splitlines()[0] == ",".join(sinks.REPORT)
     assert "http://x#A\thttp://y#A\t=\t1.0000" in (tmp_path / "out" / "one-two.tsv").read_text()
     v1 = run.run_all(spark, str(tmp_path / "tracks"), str(tmp_path / "v1"), Settings(profile="v1"))
+    # Where models are there, a task takes the one that its size and domain call for, and keeps its vectors.
+    asked = []
+
+    def load(name, longest):
+        asked.append((name, longest))
+        return lambda: embed.hashed_trigrams
+
+    for settings in (Settings(), Settings(medical=True), Settings(profile="v1")):
+        again = run.run_all(spark, str(tmp_path / "tracks"), str(tmp_path / "models"), settings, load=load, cache=str(tmp_path / "cache")).first()
+        assert again["Precision"] != "N/A"
+    assert asked == [("BAAI/bge-m3", 64), ("BAAI/bge-m3", 64), (run.V1_ENCODER, 128)]
+    assert spark.read.parquet(str(tmp_path / "cache")).select("model").distinct().count() == 2
+    assert run.encoder_for(5000, True, load=lambda *x: x)[1][0].endswith("SapBERT-from-PubMedBERT-fulltext") and run.encoder_for(5000, False, load=lambda *x: x)[1] == ("sentence-transformers/all-MiniLM-L12-v2", 128)
     assert v1.columns == sinks.REPORT_V1 and not (tmp_path / "v1" / "report.csv").read_text().startswith("Track")
 
 
@@ -127,11 +139,36 @@ def test_other_ways_to_find_tasks(tmp_path):
     a, b, c = (tmp_path / x for x in ("bio-ml", "pair", "siblings"))
     for d in (a, b, c):
         d.mkdir()
-    for p in (a / "ncit.owl", a / "doid.owl", b / "x.owl", b / "y.owl", b / "refalign.tsv", c / "m.ttl", c / "n.rdf", c / "m-n.tsv"):
-        Path(p).write_text("")
+    for p in (a / "ncit.owl", a / "doid.owl", a / "refs_equiv" / "full.tsv", a / "refs_equiv" / "train.csv", b / "x.owl", b / "y.owl", b / "refs" / "y-x.csv", c / "m.ttl", c / "n.rdf", c / "m-n.rdf", c / "other.rdf"):
+        p.parent.mkdir(exist_ok=True)
+        p.write_text("")
     found = {t.name: t for t in catalog.tasks(tmp_path)}
-    assert set(found) == {"ncit-doid", "x-y", "m-n"} and found["x-y"].reference.name == "refalign.tsv"
-    assert catalog.find_kg_reference(c, "n-m").name == "m-n.tsv"
+    assert set(found) == {"ncit-doid", "x-y", "m-n"} and found["x-y"].reference == b / "refs" / "y-x.csv" and found["m-n"].reference == c / "m-n.rdf"
+    assert found["ncit-doid"].reference == a / "refs_equiv" / "full.tsv"
+    (a / "refs_equiv" / "ncit-doid.tsv").write_text("")
+    assert catalog.find_table_reference(a, "doid-ncit").name == "ncit-doid.tsv"
+    assert catalog.find_kg_reference(c, "n-m").name == "m-n.rdf" and list(catalog.tasks(tmp_path, v1=True)) == []
+
+
+def test_references_beside_ontologies(tmp_path):
+    track = tmp_path / "anatomy"
+    (track / "ontologies").mkdir(parents=True)
+    for name in ("human.owl", "mouse.rdf", "a.xml", "b.ttl"):
+        (track / "ontologies" / name).write_text("")
+    for name in ("anatomy-human-mouse.ttl", "a-b.ttl", "a-b-c.ttl", "plain.ttl"):
+        (track / name).write_text("")
+    for v1 in (False, True):
+        assert [(t.name, t.source.name, t.target.name) for t in catalog.tasks(tmp_path, v1)] == [("a-b", "a.xml", "b.ttl"), ("anatomy-human-mouse", "human.owl", "mouse.rdf")]
+
+
+def test_places_of_kg_references(tmp_path):
+    w = lambda *parts: ((tmp_path.joinpath(*parts[:-1])).mkdir(parents=True, exist_ok=True), tmp_path.joinpath(*parts).write_text(""))
+    find = lambda: (p := catalog.find_kg_reference(tmp_path, "m-n")) and str(p.relative_to(tmp_path))
+    assert find() is None
+    # From the last place that is looked at to the first.
+    for parts in (("n-m", "ontologies", "full.tsv"), ("m-n", "refs", "ref-align.rdf"), ("m-n", "onto1-onto2.ttl"), ("refs_equiv", "train.tsv"), ("m-n", "references", "n-m.csv"), ("m-n", "m-n.owl"), ("reference", "n-m.ttl"), ("m-n.xml",)):
+        w(*parts)
+        assert find() == "/".join(parts)
 
 
 def test_kg_evaluation(spark, tmp_path):
@@ -139,8 +176,11 @@ def test_kg_evaluation(spark, tmp_path):
     refs = tmp_path / "kg" / "references"
     refs.mkdir(parents=True)
     (refs / "starwars-swg.tsv").write_text("a\tb\n")
-    row = run.evaluate_knowledge_graphs(spark, str(tmp_path), str(tmp_path / "kg")).first()
+    report = tmp_path / "kg_eval_report.csv"
+    row = run.evaluate_knowledge_graphs(spark, str(tmp_path), str(tmp_path / "kg"), report=str(report)).first()
     assert (row.true_positives, row.ignored, row.task) == (1, 1, "starwars-swg")
+    back = spark.read.option("header", True).csv(str(report))
+    assert back.columns == sinks.REPORT and [tuple(r) for r in back.collect()] == [("knowledge-graph", "starwars-swg", "1.0", "1.0", "1.0", "N/A", "N/A", "2", "1", "1", "Task")]
 
 
 def test_ntriples_are_cut_at_lines(spark, tmp_path):
