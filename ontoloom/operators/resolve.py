@@ -10,7 +10,7 @@ from ontoloom.config import Settings
 from ontoloom.functions import similarity as S
 from ontoloom.functions.labels import words
 from ontoloom.operators.domain import threshold_of
-from ontoloom.shared import written
+from ontoloom.shared import discard, place_of, written
 
 #: candidates that one task resolves; more are first thinned by rounds of mutual bests
 ONE_TASK = 200_000
@@ -123,6 +123,7 @@ def greedy_one_to_one(candidates: DataFrame, one_task: int = ONE_TASK) -> DataFr
         second = keyed.groupBy("target").agg(F.min("_o").alias("_t"))
         chosen = written(keyed.join(first, "source").join(second, "target").where((F.col("_o") == F.col("_s")) & (F.col("_o") == F.col("_t"))).select(*columns), "chosen")
         accepted = chosen if accepted is None else accepted.unionByName(chosen)
-        rest = written(rest.join(chosen.select("source"), "source", "left_anti").join(chosen.select("target"), "target", "left_anti").select(*columns), "candidates")
+        before, rest = rest, written(rest.join(chosen.select("source"), "source", "left_anti").join(chosen.select("target"), "target", "left_anti").select(*columns), "candidates")
+        discard(place_of(before))
     walked = rest.select(*columns).repartition(1).sortWithinPartitions(F.desc("score"), "source", "target").mapInArrow(_in_turn, candidates.schema)
     return walked if accepted is None else accepted.unionByName(walked)

@@ -11,6 +11,8 @@ from ontoloom.operators.resolve import exact_locks, exact_locks_v1, greedy_one_t
 from ontoloom.shared import written
 
 PAIRS = ["source", "target", "etype", "score"]
+#: what is left of the candidates where no type is on both sides
+SCORED = "source string, target string, etype string, combined double"
 
 
 @dataclass(frozen=True)
@@ -58,6 +60,8 @@ def approximate(settings: Settings, way: str):
     """A search as knn.nearest(), by inverted lists, with codes in place of vectors for "ivfpq"."""
 
     def search(src: DataFrame, tgt: DataFrame, k: int | DataFrame) -> DataFrame:
+        if tgt.isEmpty():
+            return knn.nearest(src, tgt, k)
         cells = knn.centroids(tgt, ratio=settings.training_ratio)
         probes = knn.probes_of(len(cells), settings.probes_divisor)
         if way == "ivf":
@@ -73,7 +77,9 @@ def candidates(src: DataFrame, tgt: DataFrame, settings: Settings, known: Sizes,
     ``vectors``: label, vec of every label; without them the cosine of token sets is the semantic score, and only
     targets that reach the lowest floor are candidates.
     """
-    buckets = bucket_sizes(src, tgt)
+    buckets = written(bucket_sizes(src, tgt), "buckets")  # a row a type
+    if buckets.isEmpty():
+        return src.sparkSession.createDataFrame([], SCORED)
     if vectors is not None:
         src, tgt = (df.join(vectors, "label") for df in (src, tgt))
         unsure = domain.ambiguity(tgt) if settings.k is None else None
@@ -89,11 +95,11 @@ def candidates(src: DataFrame, tgt: DataFrame, settings: Settings, known: Sizes,
     else:
         buckets = buckets.withColumn("ambiguity", F.lit(0.0)) if unsure is None else buckets.join(unsure, "etype", "left").withColumn("ambiguity", F.coalesce("ambiguity", F.lit(0.0)))
         buckets = buckets.withColumn("k", domain.adaptive_k(known.size, F.col("n_src"), F.col("n_tgt"), F.col("ambiguity"), relaxation))
-    buckets = written(buckets, "buckets")  # a row a type
+    if unsure is not None:
+        buckets = written(buckets, "buckets")
     limit = settings.k if settings.k is not None else buckets.select("etype", "k")
     forward = written(search(src, tgt, limit), "forward")
-    sized = F.broadcast(buckets.select("etype", "n_src", "n_tgt", "k"))
-    found = forward.join(knn.hub_counts(forward), ["etype", "target"]).join(sized, "etype")
+    found = forward.join(knn.hub_counts(forward), ["etype", "target"]).join(buckets.select("etype", "n_src", "n_tgt", "k"), "etype")
     found = found.withColumn("sem", resolve.hub_discount(F.col("score"), F.col("freq"), F.col("n_src"), F.col("n_tgt"), F.col("k"), settings))
     found = found.where(resolve.above_floor(F.col("sem"), F.col("etype"), relaxation, settings))
     if way != "exact":

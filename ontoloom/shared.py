@@ -1,10 +1,14 @@
-"""Places that every executor can reach, and tables written there."""
+"""Places that every executor can reach, and tables written there.
+
+A table is removed once its maker says that nothing reads it, and all of them when the driver's process ends.
+"""
 
 import atexit
 import shutil
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,16 +26,45 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: places that are still there
+_PLACES: set[str] = set()
+
+
 def new_place(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that nothing else uses."""
-    return f"{shared_folder(spark)}/ontoloom/{name}-{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark)}/ontoloom/{name}-{uuid.uuid4().hex}"
+    _PLACES.add(place)
+    return place
+
+
+def discard(place: str) -> None:
+    """Removes a place with all that it holds; one that is not there, or can't be removed, is left."""
+    _PLACES.discard(place)
+    try:
+        where, path = fs.FileSystem.from_uri(place)
+        where.delete_dir(path)
+    except (OSError, ValueError):
+        pass
+
+
+@atexit.register
+def _discard_all() -> None:
+    for place in list(_PLACES):
+        discard(place)
+
+
+def place_of(table: DataFrame) -> str:
+    """Where written() put a table."""
+    return table._ontoloom_place
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: the rows as a Parquet table in the shared folder, which outlives any executor."""
     spark, place = df.sparkSession, new_place(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(place)
-    return spark.read.schema(df.schema).parquet(place)
+    out = spark.read.schema(df.schema).parquet(place)
+    out._ontoloom_place = place
+    return out
 
 
 def unused(df: DataFrame, name: str) -> str:

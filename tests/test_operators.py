@@ -47,7 +47,7 @@ def test_token_neighbours_equal_brute_force(spark):
         assert got == want
 
 
-@pytest.mark.parametrize("n", [40, 400, 4000])
+@pytest.mark.parametrize("n", [40, 1000])
 def test_ivf_recall(spark, n):
     """At the probes that a sample asks for, held against all sources; and with codes in place of vectors."""
     s, t = vectors(spark, n // 2, 1), vectors(spark, n, 2)

