@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ontoloom.llm import text as T
-from ontoloom.shared import unused, written
+from ontoloom.shared import discard, place_of, unused, written
 
 SHINGLE, SEED, RADIUS, PIVOTS = 3, 42, 2, 16
 #: which two of the four quarters make each key
@@ -239,8 +239,10 @@ def components(edges: DataFrame) -> DataFrame:
             break
         parents = after.select(F.col("v").alias("u")).distinct()
         busy = state.where("n > 1").select("u").unionByName(state.join(parents, "u", "left_semi").select("u"))
+        done = busy.isEmpty()
+        discard(place_of(edges))
         edges = after
-        if busy.isEmpty():
+        if done:
             break
     return edges.select(F.col("u").alias("vertex"), F.col("v").alias("component")) if not after.isEmpty() else after.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
 
