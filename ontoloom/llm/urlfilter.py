@@ -3,13 +3,15 @@
 Every url becomes its (host suffix, path prefix) expressions; only the prefix lengths that some rule
 has are made. Expression and rule meet on the first 8 hex digits of the SHA-256 of ``suffix + path``;
 a match counts once the full digests agree, and the longest rule wins. Everything is DataFrame
-functions. Rules are never broadcast by a hint: Spark does so where it knows that they are small, and
+functions. Rules are never broadcast by a hint: Spark does so where it knows that their table is small, and
 else sorts and merges both sides, with hot expressions split by adaptive execution.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ontoloom.shared import written
+
 #: (verdict, host, path): fixed rules of the contract
 RULES = [
     ("allow", "org", "/"),
@@ -51,8 +53,10 @@ def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", default: str
         F.concat("host", "path").alias("_rule"), F.col("verdict").alias("_verdict"), F.sha2(F.concat("host", "path"), 256).alias("_full")
     )
     told = told.groupBy("_rule", "_full").agg(F.max("_verdict").alias("_verdict"))
-    # Rules whose digests begin alike are one row, so that an expression meets one row at most.
+    # Rules whose digests begin alike are one row, so that an expression meets one row at most. The table is written, so
+    # that Spark knows its size: a small one is broadcast, and urls are not shuffled to meet it.
     told = told.groupBy(F.substring("_full", 1, SHORT).alias("_short")).agg(F.collect_list(F.struct(F.length("_rule").alias("n"), F.col("_verdict"), F.col("_rule"), F.col("_full"))).alias("_told"))
+    told = written(told, "rules")
     one = pages.select(F.col(key).alias("_key"), F.col("url").alias("_url")).withColumns({"_host": host_of(F.col("_url")), "_path": path_of(F.col("_url"))})
     parts = F.split("_host", r"\.", -1)
     suffixes = F.when(F.col("_host") == "", F.array().cast("array<string>")).otherwise(
