@@ -29,7 +29,7 @@ ANCHOR = WINDOW - PERIOD + 1
 #: bytes of text in a block, and fewest blocks
 BLOCK_BYTES, LEAST_BLOCKS = 4 << 20, 128
 #: bytes of anchors in a range (windows are up to six times as many), bytes of anchors a byte of text, and fewest ranges
-RANGE_BYTES, ANCHOR_SHARE, LEAST_RANGES = 32 << 20, 0.6, 64
+RANGE_BYTES, ANCHOR_SHARE, LEAST_RANGES = 32 << 20, 0.6, 128
 #: what a null doc_id counts as: larger than any
 NO_ID = (1 << 63) - 1
 
