@@ -251,11 +251,14 @@ def ivfpq_nearest(src: DataFrame, tgt: DataFrame, k: int | DataFrame, centers: n
 
 
 def _prefixes(rows: DataFrame, rarity: DataFrame, name: str, least: float) -> DataFrame:
-    """etype, token, <name>, n_<name>: the rarest tokens of each entity, as many as a partner must share one of."""
+    """<name>, etype, n_<name>, after_<name>, token: the rarest tokens of each entity, as many as a partner must share one
+    of; ``after`` counts the less rare ones that follow, put aside or not."""
     each = rows.select(F.col("uri").alias(name), F.col("etype").cast("string").alias("etype"), F.explode("tokens").alias("token"))
     sets = each.join(rarity, ["etype", "token"]).groupBy(name, "etype").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
-    needed = F.ceil(F.size("t") * (least * least) - 1e-9).cast("int")
-    return sets.select(name, "etype", F.size("t").alias(f"n_{name}"), F.explode(F.slice("t", F.lit(1), F.size("t") - needed + 1)).alias("p")).select(name, "etype", f"n_{name}", F.col("p.token").alias("token"))
+    size = F.size("t")
+    needed = F.ceil(size * (least * least) - 1e-9).cast("int")
+    placed = sets.select(name, "etype", size.alias(f"n_{name}"), F.posexplode(F.slice("t", F.lit(1), size - needed + 1)).alias("at", "p"))
+    return placed.select(name, "etype", f"n_{name}", (F.col(f"n_{name}") - 1 - F.col("at")).alias(f"after_{name}"), F.col("p.token").alias("token"))
 
 
 def token_nearest(src: DataFrame, tgt: DataFrame, k: int | DataFrame, least: float = 0.5) -> DataFrame:
@@ -263,12 +266,14 @@ def token_nearest(src: DataFrame, tgt: DataFrame, k: int | DataFrame, least: flo
 
     ``src``, ``tgt``: uri, etype, tokens. A pair that reaches it shares at least least**2 of either set, so it shares one
     of the rarest tokens that are left when so many less one are put aside; pairs meet on those, and frequent words,
-    which would pair everything, hardly ever come to that. Sizes that are too far apart are never joined.
+    which would pair everything, hardly ever come to that. A token that leaves too few for a pair to reach it joins nothing.
     """
     both = src.select(F.col("etype").cast("string").alias("etype"), "tokens").unionByName(tgt.select(F.col("etype").cast("string").alias("etype"), "tokens"))
     rarity = both.select("etype", F.explode("tokens").alias("token")).groupBy("etype", "token").agg(F.count(F.lit(1)).alias("df"))
     s, t = _prefixes(src, rarity, "source", least), _prefixes(tgt, rarity, "target", least)
-    fits = (F.col("n_source") >= F.col("n_target") * (least * least) - 1e-9) & (F.col("n_target") >= F.col("n_source") * (least * least) - 1e-9)
+    # The first token that two entities share leaves at most this many for them to share; sizes too far apart fail too.
+    most = 1 + F.least("after_source", "after_target")
+    fits = most * most >= F.col("n_source") * F.col("n_target") * (least * least) - 1e-6
     met = s.join(t, ["etype", "token"]).where(fits).select("etype", "source", "target").distinct()
     met = met.join(src.select(F.col("uri").alias("source"), F.col("tokens").alias("_s")), "source").join(tgt.select(F.col("uri").alias("target"), F.col("tokens").alias("_t")), "target")
     found = met.select("etype", "source", "target", token_cosine(F.col("_s"), F.col("_t")).alias("score")).where(F.col("score") >= least)
