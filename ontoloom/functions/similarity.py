@@ -15,16 +15,24 @@ from ontoloom.functions.labels import STOPWORDS, words
 DEFAULTS = Settings()
 
 
+def _with(value: Column, then) -> Column:
+    """``then`` of a value that is worked out once, however often it is named there."""
+    return F.transform(F.array(value), then)[0]
+
+
 def _jaccard(a: Column, b: Column) -> Column:
-    """Of two arrays as sets; 0 if either is empty."""
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+    """Of two arrays without repeats; 0 if either is empty."""
+    counts = _with(F.struct(a.alias("a"), b.alias("b")), lambda p: F.struct((F.size(p["a"]) + F.size(p["b"])).alias("n"), F.size(F.array_intersect(p["a"], p["b"])).alias("m")))
+    return _with(counts, lambda c: F.when(c["m"] == 0, F.lit(0.0)).otherwise(c["m"] / (c["n"] - c["m"])))
 
 
 def _grams(text: Column, n: int) -> Column:
-    # sequence() counts down, so texts that are too short are kept from it.
-    return F.when(F.length(text) < n, F.array().cast("array<string>")).otherwise(
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))
-    )
+    def of(t: Column) -> Column:
+        # sequence() counts down, so texts that are too short are kept from it.
+        each = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (n - 1), F.lit(1))), lambda i: F.substring(t, i, F.lit(n)))
+        return F.when(F.length(t) < n, F.array().cast("array<string>")).otherwise(F.array_distinct(each))
+
+    return _with(text, of)
 
 
 def ngram_similarity(a: Column, b: Column, n: int = 3) -> Column:
