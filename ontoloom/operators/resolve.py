@@ -83,10 +83,11 @@ def weighted_jaccard(pairs: DataFrame, idf: DataFrame) -> DataFrame:
 def scored_pairs(pairs: DataFrame, idf: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``pairs`` (source, target, etype, a, b, sem, a_parents, b_parents) with all partial scores and ``combined``.
 
-    Kernels run once for each distinct pair of labels."""
+    Kernels run once for each distinct pair of labels, in as many tasks as a shuffle has: pairs are short, but dear."""
     a, b = F.col("a"), F.col("b")
     lev = S.levenshtein_similarity(a, b, settings) if settings.lev_kernel == "levenshtein" else S.indel_similarity(a, b, settings)
-    labels = pairs.select("etype", "a", "b").distinct()
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    labels = pairs.select("etype", "a", "b").distinct().repartition(tasks, "etype", "a", "b")
     told = labels.withColumns({"ngram": S.ngram_similarity(a, b), "lev": lev, "isub": S.isub_similarity(a, b), "tokset": S.token_set_similarity(a, b), "acronym": S.acronym_bonus(a, b)})
     told = told.join(weighted_jaccard(labels, idf), ["etype", "a", "b"], "left").withColumn("wjaccard", F.coalesce("wjaccard", F.lit(0.0)))
     met = pairs.join(told, ["etype", "a", "b"])

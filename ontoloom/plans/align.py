@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ontoloom.config import Settings
 from ontoloom.operators import domain, embed, knn, resolve
 from ontoloom.operators.resolve import exact_locks, exact_locks_v1, greedy_one_to_one, unclaimed
-from ontoloom.shared import written
+from ontoloom.shared import discard, place_of, written
 
 PAIRS = ["source", "target", "etype", "score"]
 #: what is left of the candidates where no type is on both sides
@@ -111,7 +111,9 @@ def candidates(src: DataFrame, tgt: DataFrame, settings: Settings, known: Sizes,
         found = found.where(resolve.reciprocal(F.col("sem"), F.col("rev"), cutoff, settings))
     left = src.select(F.col("uri").alias("source"), F.col("label").alias("a"), F.col("parents").alias("a_parents"))
     right = tgt.select(F.col("uri").alias("target"), F.col("label").alias("b"), F.col("parents").alias("b_parents"))
-    pairs = found.select("source", "target", "etype", "sem").join(left, "source").join(right, "target")
+    # Written, as labels, weights and scores all read it.
+    pairs = written(found.select("source", "target", "etype", "sem").join(left, "source").join(right, "target"), "pairs")
+    discard(place_of(forward))
     idf = resolve.idf_weights(src.select("etype", "label").unionByName(tgt.select("etype", "label")))
     scored = resolve.scored_pairs(pairs, idf, settings)
     return scored.where(resolve.lexical_gate(F.col("is_exact"), F.col("sem"), F.col("lev"), F.col("isub"), F.col("tokset"), F.col("wjaccard"), F.col("acronym"), settings))
