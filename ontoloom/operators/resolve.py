@@ -63,9 +63,10 @@ def lexical_gate(exact: Column, sem: Column, lev: Column, isub: Column, tokset:
 def idf_weights(labels: DataFrame) -> DataFrame:
     """etype, token, idf = ln((N + 1) / (df + 1)) + 1 of every word, stopwords too; N the labels of the type that have any."""
     told = labels.select("etype", F.array_distinct(words(F.col("label"))).alias("tokens")).where(F.size("tokens") > 0)
-    counts = told.groupBy("etype").agg(F.count(F.lit(1)).alias("n"))
+    # A row a type, written so that Spark knows its size: it is broadcast only where that is small.
+    counts = written(told.groupBy("etype").agg(F.count(F.lit(1)).alias("n")), "types")
     df = told.select("etype", F.explode("tokens").alias("token")).groupBy("etype", "token").agg(F.count(F.lit(1)).alias("df"))
-    return df.join(F.broadcast(counts), "etype").select("etype", "token", (F.log((F.col("n") + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
+    return df.join(counts, "etype").select("etype", "token", (F.log((F.col("n") + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
 
 
 def weighted_jaccard(pairs: DataFrame, idf: DataFrame) -> DataFrame:

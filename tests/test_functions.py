@@ -94,3 +94,25 @@ def test_sql_functions(spark):
     S.register(spark)
     row = spark.sql("select isub('paper', 'papers') a, indel_ratio('ab', 'abc') b, ascii_folded('é') c").first()
     assert row.a == pytest.approx(0.9091, abs=1e-4) and row.b == pytest.approx(0.8) and row.c == "e"
+
+
+def test_ngrams_of_odd_pairs_equal_the_rule(spark):
+    import random
+
+    def rule(a, b):
+        a, b = a.lower(), b.lower()
+        if a == b:
+            return 1.0
+        n = 3 if min(len(a), len(b)) >= 3 else 2
+        x, y = ({t[i : i + n] for i in range(len(t) - n + 1)} for t in (a, b))
+        return len(x & y) / len(x | y) if x and y else 0.0
+
+    rng = random.Random(11)
+    text = lambda: "".join(rng.choice(["a", "b", "A", " ", "é", "😀"]) for _ in range(rng.choice([0, 1, 2, 3, 4, 9, 40])))
+    pairs = [(text(), text()) for _ in range(300)]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", S.ngram_similarity(F.col("a"), F.col("b")).alias("g")).collect()
+    assert any(0 < r.g < 1 for r in got)
+    for r in got:
+        assert r.g == pytest.approx(rule(r.a, r.b)), r
+    nulls = spark.createDataFrame([(None, "abc"), (None, None)], "a string, b string").select(S.ngram_similarity(F.col("a"), F.col("b")).alias("g"), S.structural_similarity(F.array("a"), F.lit(None).cast("array<string>")).alias("p")).collect()
+    assert [r.p for r in nulls] == [0.0, 0.0]
