@@ -22,7 +22,7 @@ def labels_of(n: int, seed: int, said: int = 30) -> list[str]:
 ODD = ["a", "ab", "abc", "abd", "ab c", "of the", "wo", "world of", "www", "world wide web", "a" * 62, "a" * 63, "a" * 64 + "b", "b" * 126, "ba" * 70, "abcde", "abcdf", "abcd", "un", "united nations"]
 
 
-@pytest.mark.parametrize("name", ["q27_weighted_jaccard", "q29_combined_score", "q22_indel_ratio", "q24_token_set_jaccard", "q30_lexical_gate", "q20_ngram_similarity", "q21_levenshtein_damped", "q31_threshold_filter"])
+@pytest.mark.parametrize("name", ["q27_weighted_jaccard", "q29_combined_score", "q22_indel_ratio", "q24_token_set_jaccard", "q30_lexical_gate", "q20_ngram_similarity", "q23_isub", "q21_levenshtein_damped", "q31_threshold_filter"])
 def test_no_pair_is_shuffled(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan.split("MapInArrow")[0]
