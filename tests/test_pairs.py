@@ -64,3 +64,16 @@ def test_weights_are_those_of_the_type(spark):
     known = {(r.etype, r.token): r.idf for r in idf.collect()} | {("x", "w4"): 1.0}
     weight = lambda etype, *tokens: sum(known[etype, w] for w in tokens)
     assert got == pytest.approx({("x", "w1 w2 w3", "w1 w4"): weight("x", "w1") / weight("x", "w1", "w2", "w3", "w4"), ("y", "w1 w2", "w1 w2 w5"): weight("y", "w1", "w2") / weight("y", "w1", "w2", "w5")})
+
+
+def test_weights_come_by_label_and_not_by_word_of_a_pair(spark):
+    """Of 40 x 40 pairs of labels with 20 words each, joins see labels and pairs, but no row for a word of a pair."""
+    s, t = ([f"{side}{k} " + " ".join(f"w{(k + n) % 30}" for n in range(19)) for k in range(40)] for side in "st")
+    made = spark.createDataFrame([("x", a, b) for a in s for b in t], "etype string, a string, b string")
+    idf = resolve.idf_weights(spark.createDataFrame([("x", label) for label in s + t], "etype string, label string"))
+    found = resolve.weighted_jaccard(made, idf)
+    known, got = {r.token: r.idf for r in idf.collect()}, {(r.a, r.b): r.wjaccard for r in found.collect()}
+    weight = lambda some: sum(known[w] for w in some)
+    assert got == pytest.approx({(a, b): weight(set(a.split()) & set(b.split())) / weight(set(a.split()) | set(b.split())) for a in s for b in t})
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_union" not in plan
