@@ -77,3 +77,31 @@ def test_weights_come_by_label_and_not_by_word_of_a_pair(spark):
     assert got == pytest.approx({(a, b): weight(set(a.split()) & set(b.split())) / weight(set(a.split()) | set(b.split())) for a in s for b in t})
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "array_union" not in plan
+
+
+def unlike(n: int, seed: int) -> list[str]:
+    """Texts of few and of many letters, some of them longer than two limbs, and such that have parts of others."""
+    rng = random.Random(seed)
+    made = ["".join(rng.choice(letters) for _ in range(rng.randint(0, most))) for letters, most in (("ab", 12), ("abc", 150), ("abcdefgh ", 300), ("a\u00e9\U0001f600", 70)) for _ in range(n)]
+    return made + [x[len(x) // 3 :] + "".join(rng.choice("abc") for _ in range(rng.randint(0, 9))) + x[: len(x) // 2] for x in made]
+
+
+def test_isub_takes_many_pairs_at_once(monkeypatch):
+    s, t = [*ODD, *labels_of(25, 7), *unlike(8, 1)], [*ODD, *labels_of(25, 8), *unlike(8, 1)[::2], *unlike(4, 2)]
+    i, j = (x.ravel() for x in np.meshgrid(range(len(s)), range(len(t)), indexing="ij"))
+    want = [S._isub(s[x], t[y], 2.5) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+
+    def single(*_):
+        raise AssertionError("a pair was taken on its own")
+
+    with monkeypatch.context() as m:
+        m.setattr(P, "_isub", single)
+        assert P.isub(s, t, i, j).tolist() == want
+        assert P.isub(s, t, i[:0], j[:0]).tolist() == []
+        # One pair a step, and tables of a few.
+        m.setattr(P, "CELLS", 1)
+        m.setattr(P, "NEAR", 3)
+        assert P.isub(s, t, i[::7], j[::7]).tolist() == want[::7]
+    # Texts too long for a table.
+    monkeypatch.setattr(P, "MOST", 200)
+    assert P.isub(s, t, i, j).tolist() == want
