@@ -105,3 +105,21 @@ def test_isub_takes_many_pairs_at_once(monkeypatch):
     # Texts too long for a table.
     monkeypatch.setattr(P, "MOST", 200)
     assert P.isub(s, t, i, j).tolist() == want
+
+
+def test_gate_asks_for_a_dear_score_only_where_no_cheaper_one_passes(spark, monkeypatch):
+    s, t = [*ODD, "", *labels_of(30, 9)], [*ODD, "", *labels_of(30, 10)]
+    i, j = (x.ravel() for x in np.meshgrid(range(len(s)), range(len(t)), indexing="ij"))
+    weights = {w: 1.0 + len(w) % 5 for x in [*s, *t] for w in x.split(" ")}
+    lists = {"sem": P.token_cosine, "lev": P.indel, "isub": P.isub, "tokset": P.token_set, "acronym": P.acronym}
+    scores = {n: f(s, t, i, j) for n, f in lists.items()} | {"wjaccard": np.nan_to_num(P.weighted(s, t, i, j, weights))}
+    rows = [(s[x], t[y], *(float(v[k]) for v in scores.values())) for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True))]
+    told = spark.createDataFrame(rows, "a string, b string, " + ", ".join(f"{n} double" for n in scores)).coalesce(1)
+    gate = resolve.lexical_gate((F.col("a") == F.col("b")) & (F.length("a") > 2), *(F.col(n) for n in ("sem", "lev", "isub", "tokset", "wjaccard", "acronym")))
+    want = [r[0] for r in told.select(gate).collect()]
+    assert P.passes(s, t, i, j, weights).tolist() == want and 0 < sum(want) < len(want)
+    asked, isub = [], P.isub
+    monkeypatch.setattr(P, "isub", lambda s, t, i, j, settings: (asked.append(len(i)), isub(s, t, i, j, settings))[1])
+    P.passes(s, t, i, j, weights)
+    others = (scores["sem"] >= 0.88) | (np.maximum(scores["lev"], scores["tokset"]) >= 0.45) | (scores["wjaccard"] >= 0.25) | (scores["acronym"] >= 0.8) | P.exact(s, t, i, j)
+    assert asked == [int((~others).sum())]
