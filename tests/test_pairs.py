@@ -123,3 +123,15 @@ def test_gate_asks_for_a_dear_score_only_where_no_cheaper_one_passes(spark, monk
     P.passes(s, t, i, j, weights)
     others = (scores["sem"] >= 0.88) | (np.maximum(scores["lev"], scores["tokset"]) >= 0.45) | (scores["wjaccard"] >= 0.25) | (scores["acronym"] >= 0.8) | P.exact(s, t, i, j)
     assert asked == [int((~others).sum())]
+
+
+def test_combined_scores_are_those_of_the_columns_and_leave_a_tile_as_one(spark):
+    s, t = [*ODD, "", *labels_of(30, 11)], [*ODD, "", *labels_of(30, 12)]
+    i, j = (x.ravel() for x in np.meshgrid(range(len(s)), range(len(t)), indexing="ij"))
+    scores = [f(s, t, i, j) for f in (P.token_cosine, P.ngram, P.indel, P.isub, P.acronym)]
+    rows = [(s[x], t[y], *(float(v[k]) for v in scores)) for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True))]
+    told = spark.createDataFrame(rows, "a string, b string, sem double, ngram double, lev double, isub double, acronym double").coalesce(1)
+    want = S.combined_score((F.col("a") == F.col("b")) & (F.length("a") > 2), *(F.col(n) for n in ("sem", "ngram", "lev", "isub")), 0.1 * F.col("acronym"))
+    assert P.combined(s, t, i, j).tolist() == [r[0] for r in told.select(want).collect()]
+    plan = QUERIES["q29_combined_score"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "v0#" in plan and "v1#" not in plan
